@@ -212,14 +212,18 @@ def changes(records: DataFrame, series: str = "series_name", order: str = "file_
     parent = F.lit("")
     for p in nested:
         parent = F.when(F.startswith("path", F.lit(f"{p}.")), p).otherwise(parent)
-    event = lambda q, what, where: ranked.where(where).select("s", F.col(q).alias("q"), F.lit(what).alias("what"), "path", "type", parent.alias("parent"))
-    moved = event("q", "added", "before IS NULL AND r > 1").unionByName(event("next_q", "removed", "behind IS NULL AND next_q IS NOT NULL"))
+    event = lambda what, q: F.struct(F.lit(what).alias("what"), F.col(q).alias("q"))
+    events = F.array(
+        F.when(F.col("before").isNull() & (F.col("r") > 1), event("added", "q")),
+        F.when(F.col("behind").isNull() & F.col("next_q").isNotNull(), event("removed", "next_q")),
+        F.when(F.col("type_before") != F.col("type"), event("retyped", "q")),
+    )
+    moved = ranked.select("s", "path", "type", parent.alias("parent"), F.explode(F.array_compact(events)).alias("event")).select("s", "event.q", "event.what", "path", "type", "parent")
     one = lambda what: F.count(F.when(F.col("what") == what, 1))
     paths = lambda what: F.collect_list(F.when(F.col("what") == what, F.col("path")))
-    grouped = moved.groupBy("s", "q", "parent", "type").agg(one("added").alias("n_new"), one("removed").alias("n_old"), paths("added").alias("new"), paths("removed").alias("old"))
+    grouped = moved.groupBy("s", "q", "parent", "type").agg(one("added").alias("n_new"), one("removed").alias("n_old"), paths("added").alias("new"), paths("removed").alias("old"), paths("retyped").alias("other"))
     renamed = (F.col("n_new") == 1) & (F.col("n_old") == 1) & F.col("type").isNotNull()
     change = lambda what, old, new: F.struct(F.lit(what).alias("change_kind"), old.alias("old_field"), new.alias("new_field"))
     listed = F.when(renamed, F.array(change("renamed", F.get("old", F.lit(0)), F.get("new", F.lit(0))))).otherwise(F.concat(F.transform("old", lambda p: change("removed", p, F.lit(""))), F.transform("new", lambda p: change("added", F.lit(""), p))))
-    moves = grouped.select("s", "q", F.explode(listed).alias("c")).select("s", "q", "c.*")
-    retyped = ranked.where("type_before <> type").select("s", "q", F.lit("retyped").alias("change_kind"), F.col("path").alias("old_field"), F.col("path").alias("new_field"))
-    return moves.unionByName(retyped).select(F.col("s").alias(series), F.col("q").alias(order), "change_kind", "old_field", "new_field")
+    listed = F.concat(listed, F.transform("other", lambda p: change("retyped", p, p)))
+    return grouped.select(F.col("s").alias(series), F.col("q").alias(order), F.explode(listed).alias("c")).select(series, order, "c.*")
