@@ -4,9 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverlake.llm import tokens
+from quiverlake.llm import neighbours, sample, tokens
 from quiverlake.session import table
 
+DIM = 48
+SAMPLE_SIZE, SAMPLE_SEED = 1000, 42
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A uniform sample of the usable items: index and random key."""
+    return sample.draw(table(spark, sf_dir, "vec_items"), SAMPLE_SIZE, SAMPLE_SEED, DIM).select("vec_index", "sample_key")
+
+
+def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled items with their vectors."""
+    return sample.draw(table(spark, sf_dir, "vec_items"), SAMPLE_SIZE, SAMPLE_SEED, DIM).select("vec_index", "v")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items within 2.5 of each other, each among the other's 10 nearest."""
+    items = table(spark, sf_dir, "vec_items")
+    return neighbours.mutual_pairs(neighbours.knn(items, items, 10, DIM, radius=2.5, settings=neighbours.Settings(relax=0.6)))
+
+
+def p5_heaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other items of every item whose index is divisible by 50, however far."""
+    items = table(spark, sf_dir, "vec_items")
+    return neighbours.knn(items.where("vec_index % 50 = 0"), items, 10, DIM, settings=neighbours.Settings(relax=0.5))
+
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
@@ -18,9 +43,17 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode(p6_ids(spark, sf_dir))
 
 
-_QUERIES = (p6_ids, p6_decoded)
+_QUERIES = (p4_sample, p4_items, p5_found, p5_heaps, p6_ids, p6_decoded)
+
+_USABLE = f"vec_index IS NOT NULL AND v IS NOT NULL AND len(v) = {DIM} AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))"
 
-_SQL = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+_SQL = {
+    "p4_sample": f"""
+WITH items AS (SELECT DISTINCT vec_index FROM vec_items WHERE {_USABLE}),
+keys AS (SELECT vec_index, CAST('0x' || substr(md5('{SAMPLE_SEED}:' || vec_index), 1, 15) AS BIGINT) AS sample_key FROM items)
+SELECT vec_index, sample_key FROM keys ORDER BY sample_key, vec_index LIMIT {SAMPLE_SIZE}""",
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
 
 
 def queries() -> dict:
