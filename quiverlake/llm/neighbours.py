@@ -19,9 +19,9 @@ class Settings:
     """``sample_rows`` bounds the sample that fits the router; every row is indexed. ``relax`` 1 is exact."""
 
     relax: float = 0.7
-    rows_per_shard: int = 8_000
+    rows_per_shard: int = 24_000
     sample_rows: int = 20_000
-    max_queries: int = 40_000  # queries of one task, estimated from the sample; a shard with more is split
+    max_queries: int = 60_000  # queries of one task, estimated from the sample; a shard with more is split
     leaf: int = 128
     seed: int = 7
 
@@ -55,7 +55,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, dim: int, radius: float | N
     there are; ``k`` < 1 gives no rows. Other columns are not read, so their names don't matter.
 
     Base rows go to one shard each, by a router fitted on a bounded sample. With a radius, a query goes to
-    all shards within ``relax`` times the radius along the router's tree. Without, it first asks its own
+    all shards within ``relax`` times the radius along the router's tree, and prunes by the radius there too. Without, it first asks its own
     shard, and then the shards within ``relax`` times the distance of the k-th row found there. Of equal
     vectors only k + 1 travel, so many copies don't fill a shard; a shard with many queries is split by query.
     """
@@ -103,7 +103,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, dim: int, radius: float | N
         q_ids, q = asked.column("id").to_numpy(), matrix(asked.column("v"), dim, np.float32)
         _, once = np.unique(q_ids, return_index=True)
         q_ids, q = q_ids[once], q[once]
-        rows, found, d = tree.knn(q, q_ids, k, s.relax, asked.column("bound").to_numpy()[once])
+        rows, found, d = tree.knn(q, q_ids, k, s.relax, asked.column("bound").to_numpy()[once], radius is None)
         unit = asked.column("unit")[0].as_py() if asked.num_rows else 0
         return pa.table({"query_id": q_ids[rows], "base_id": found, "dist_sq": d, "shard": np.full(len(rows), unit // width, np.int32)})
 

@@ -119,19 +119,20 @@ class VpTree:
         self.x, self.ids = np.ascontiguousarray(x[rows]), ids[rows]
         self.norms = np.einsum("ij,ij->i", self.x, self.x)
 
-    def knn(self, q: np.ndarray, q_ids: np.ndarray, k: int, relax: float, bound: np.ndarray, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, id, squared distance) of the at most ``k`` nearest rows within each query's ``bound`` (a squared distance, inclusive); never the query's own id; ties by the smaller id."""
-        parts = [self._knn(q[i : i + block], q_ids[i : i + block], k, relax, bound[i : i + block]) for i in range(0, len(q), block)]
+    def knn(self, q: np.ndarray, q_ids: np.ndarray, k: int, relax: float, bound: np.ndarray, shrink: bool = True, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, squared distance) of the at most ``k`` nearest rows within each query's ``bound`` (a squared distance, inclusive); never the query's own id; ties by the smaller id. Pruning goes by the best so far, or with ``shrink`` false by the bound alone, which loses less at small factors."""
+        parts = [self._knn(q[i : i + block], q_ids[i : i + block], k, relax, bound[i : i + block], shrink) for i in range(0, len(q), block)]
         parts = [(r + i * block, b, d) for i, (r, b, d) in enumerate(parts)]
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(p) for p in zip(*parts))
 
-    def _knn(self, q: np.ndarray, q_ids: np.ndarray, k: int, relax: float, bound: np.ndarray):
+    def _knn(self, q: np.ndarray, q_ids: np.ndarray, k: int, relax: float, bound: np.ndarray, shrink: bool = True):
         q = q.astype(np.float64, copy=False)
         n = len(q)
         best = np.full((n, k), np.inf)  # squared distances found so far
         limit = bound.astype(np.float64).copy()  # what a row must reach to count
+        reach = limit if shrink else bound
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         done = np.full(n, -1, np.int64)  # the leaf of the first pass
         if not self.nodes:
@@ -178,7 +179,7 @@ class VpTree:
                 scan(at, active[done[active] != at])
                 continue
             d = np.sqrt(squared_distances(q[active], node[0][None]))[:, 0]
-            w = relax * np.sqrt(limit[active]) * (1 + ROUND) + ROUND
+            w = relax * np.sqrt(reach[active]) * (1 + ROUND) + ROUND
             for child, (low, high) in ((node[2], node[3]), (node[4], node[5])):
                 stack.append((child, active[(d >= low - w) & (d <= high + w)]))
         if not found:
