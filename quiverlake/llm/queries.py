@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverlake.llm import neighbours, sample, tokens
+from quiverlake.llm import grid, neighbours, sample, tokens
 from quiverlake.session import table
 
 DIM = 48
 SAMPLE_SIZE, SAMPLE_SEED = 1000, 42
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of sets of at least 5 items connected by links of at most 2.5."""
+    return grid.cluster(table(spark, sf_dir, "vec_items"), 2.5, DIM)
+
+
+def p3_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical members of every cluster."""
+    return grid.describe(table(spark, sf_dir, "vec_items"), 2.5, DIM)
+
+
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A uniform sample of the usable items: index and random key."""
     return sample.draw(table(spark, sf_dir, "vec_items"), SAMPLE_SIZE, SAMPLE_SEED, DIM).select("vec_index", "sample_key")
@@ -24,7 +34,7 @@ def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of items within 2.5 of each other, each among the other's 10 nearest."""
     items = table(spark, sf_dir, "vec_items")
-    return neighbours.mutual_pairs(neighbours.knn(items, items, 10, DIM, radius=2.5, settings=neighbours.Settings(relax=0.6)))
+    return neighbours.mutual_pairs(neighbours.knn(items, items, 10, DIM, radius=2.5, settings=neighbours.Settings(relax=0.3)))
 
 
 def p5_heaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +53,7 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode(p6_ids(spark, sf_dir))
 
 
-_QUERIES = (p4_sample, p4_items, p5_found, p5_heaps, p6_ids, p6_decoded)
+_QUERIES = (p3_found, p3_typical, p4_sample, p4_items, p5_found, p5_heaps, p6_ids, p6_decoded)
 
 _USABLE = f"vec_index IS NOT NULL AND v IS NOT NULL AND len(v) = {DIM} AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))"
 
