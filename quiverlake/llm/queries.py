@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverlake.llm import grid, neighbours, sample, tokens
+from quiverlake.llm import grid, leakage, neighbours, sample, tokens
 from quiverlake.session import table
 
 DIM = 48
@@ -53,7 +53,17 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode(p6_ids(spark, sf_dir))
 
 
-_QUERIES = (p3_found, p3_typical, p4_sample, p4_items, p5_found, p5_heaps, p6_ids, p6_decoded)
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items of which they hold at least 12 consecutive units."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents close to an evaluation item without such a stretch: cosine, common subsequence, answer figures."""
+    return leakage.paraphrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+_QUERIES = (p3_found, p3_typical, p4_sample, p4_items, p5_found, p5_heaps, p6_ids, p6_decoded, p7_found, p7_paraphrases)
 
 _USABLE = f"vec_index IS NOT NULL AND v IS NOT NULL AND len(v) = {DIM} AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))"
 
