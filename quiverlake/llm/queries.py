@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverlake.llm import grid, leakage, neighbours, sample, tokens
+from quiverlake.llm import grid, leakage, neighbours, pii, sample, tokens
 from quiverlake.session import table
 
 DIM = 48
@@ -63,7 +63,17 @@ def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.paraphrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-_QUERIES = (p3_found, p3_typical, p4_sample, p4_items, p5_found, p5_heaps, p6_ids, p6_decoded, p7_found, p7_paraphrases)
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal information in the documents: kind and place."""
+    return pii.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
+
+
+def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with typed placeholders."""
+    return pii.masked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
+
+
+_QUERIES = (p3_found, p3_typical, p4_sample, p4_items, p5_found, p5_heaps, p6_ids, p6_decoded, p7_found, p7_paraphrases, p8_found, p8_masked)
 
 _USABLE = f"vec_index IS NOT NULL AND v IS NOT NULL AND len(v) = {DIM} AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))"
 
