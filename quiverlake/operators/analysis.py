@@ -13,9 +13,12 @@ KEYS = ("num_centroids", "kmeans_iter", "nprobe")
 def clean(raw: DataFrame, status: str | None = "status") -> DataFrame:
     """Metrics as numbers (``NA`` and rubbish null); ``ok``: the status begins with OK, or without a status column recall is there.
 
-    A run delivered twice (same ``run_id``) counts once.
+    A run delivered more than once (same ``run_id``) counts once, as first received.
     """
-    runs = raw.dropDuplicates(["run_id"]) if "run_id" in raw.columns else raw
+    runs = raw
+    if "run_id" in raw.columns:
+        first = F.min_by(F.struct(*raw.columns), F.struct("received_at") if "received_at" in raw.columns else F.struct(*raw.columns))
+        runs = raw.groupBy("run_id").agg(first.alias("_r")).select("_r.*")
     number = lambda c: F.when(F.trim(F.col(c).cast("string")).rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"), F.trim(F.col(c).cast("string")).try_cast("double"))
     runs = runs.withColumns({c: number(c) for c in ("elapsed_s", "recall", "avg_query_time_ms", "index_build_time_s") if c in runs.columns})
     ok = F.coalesce(F.startswith(status, F.lit("OK")), F.lit(False)) if status and status in runs.columns else F.col("recall").isNotNull()

@@ -108,7 +108,7 @@ class IvfIndex:
         probed = np.unique(cells)
         row, rank = np.divmod(np.argsort(cells.ravel(), kind="stable"), cells.shape[1])
         ends = np.searchsorted(cells.ravel()[row * cells.shape[1] + rank], np.arange(len(self.centroids) + 1))
-        shared = self.lists.sparkSession.sparkContext.broadcast((ids, q, row, rank, ends))
+        shared = self.lists.sparkSession.sparkContext.broadcast((ids, q, row, rank + 1, ends))
         rows = self.lists
         if len(probed) <= 1000 and len(probed) < len(self.centroids):
             rows = rows.where(F.col("cid").isin([int(c) for c in probed]))

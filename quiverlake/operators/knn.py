@@ -81,7 +81,7 @@ class Block:
         limit = self.best[:, -1]
         if near.shape[1] > self.k:
             limit = np.minimum(limit, np.partition(near, self.k - 1, 1)[:, self.k - 1])
-        limit = np.where(np.isfinite(limit), limit, np.finfo(float).max)
+        limit = np.where(np.isfinite(limit), limit, 1e300)
         row, col = np.nonzero(near <= (limit * (1 + SLACK) + SLACK)[:, None])
         if not len(row):
             return

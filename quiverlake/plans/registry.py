@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverlake.plans import loading
+from quiverlake.plans import experiments, loading, vector_search
 
-MODULES = (loading,)
+MODULES = (vector_search, experiments, loading)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

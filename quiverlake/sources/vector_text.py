@@ -81,11 +81,11 @@ def of_dimension(parsed: DataFrame, dim: int | None) -> DataFrame:
     return parsed.join(F.broadcast(first), "file").where(F.size("vec") == F.col("dim")).drop("dim")
 
 
-def from_flat(spark: SparkSession, dim: int, flat: DataFrame, column: str = "flat") -> DataFrame:
-    """``(vec_id, embedding)`` of one flat array of n * dim values; a remainder is dropped."""
+def from_flat(flat: DataFrame, dim: int, column: str = "flat", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(keep…, vec_id, embedding)``: each flat array of n * dim values as n vectors numbered from 0; a remainder is dropped."""
     n = F.floor(F.size(column) / dim).cast("int")
-    rows = flat.where(n > 0).select(F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(column, i * dim + 1, dim))).alias("vec_id", "embedding"))
-    return rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = flat.where(n > 0).select(*keep, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(column, i * dim + 1, dim))).alias("vec_id", "embedding"))
+    return rows.select(*keep, F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
 
 
 def write_cache(vectors: DataFrame, path: str) -> DataFrame:
