@@ -77,6 +77,11 @@ def drop_cut(df: DataFrame | None) -> None:
     at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One input table of a data folder. With ``spread``, a table of fewer splits than cores is dealt out to all cores first.
+
+    That is for work that costs far more than moving its rows; a table of many splits is never moved.
+    """
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if spread and scan.rdd.getNumPartitions() < cores else scan
