@@ -13,12 +13,12 @@ SAMPLE_SIZE, SAMPLE_SEED = 1000, 42
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of sets of at least 5 items connected by links of at most 2.5."""
-    return grid.cluster(table(spark, sf_dir, "vec_items"), 2.5, DIM)
+    return grid.cluster(table(spark, sf_dir, "vec_items", spread=True), 2.5, DIM)
 
 
 def p3_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and most typical members of every cluster."""
-    return grid.describe(table(spark, sf_dir, "vec_items"), 2.5, DIM)
+    return grid.describe(table(spark, sf_dir, "vec_items", spread=True), 2.5, DIM)
 
 
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,19 +33,19 @@ def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of items within 2.5 of each other, each among the other's 10 nearest."""
-    items = table(spark, sf_dir, "vec_items")
+    items = table(spark, sf_dir, "vec_items", spread=True)
     return neighbours.mutual_pairs(neighbours.knn(items, items, 10, DIM, radius=2.5, settings=neighbours.Settings(relax=0.3)))
 
 
 def p5_heaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest other items of every item whose index is divisible by 50, however far."""
-    items = table(spark, sf_dir, "vec_items")
+    items = table(spark, sf_dir, "vec_items", spread=True)
     return neighbours.knn(items.where("vec_index % 50 = 0"), items, 10, DIM, settings=neighbours.Settings(relax=0.5))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return tokens.encode(table(spark, sf_dir, "documents"))
+    return tokens.encode(table(spark, sf_dir, "documents", spread=True))
 
 
 def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,22 +55,22 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items of which they hold at least 12 consecutive units."""
-    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.leaks(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "eval_items"))
 
 
 def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents close to an evaluation item without such a stretch: cosine, common subsequence, answer figures."""
-    return leakage.paraphrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.paraphrases(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal information in the documents: kind and place."""
-    return pii.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
+    return pii.occurrences(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "name_parts"))
 
 
 def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with typed placeholders."""
-    return pii.masked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
+    return pii.masked(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "name_parts"))
 
 
 _QUERIES = (p3_found, p3_typical, p4_sample, p4_items, p5_found, p5_heaps, p6_ids, p6_decoded, p7_found, p7_paraphrases, p8_found, p8_masked)
