@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quiverlake.session import cut
 
 RUN = 12
-WINDOW, STRIDE = 2 * RUN, RUN
+WINDOW, STRIDE, LOOSE = 2 * RUN, RUN, 8
 UNIT_PATTERN = r"[一-鿿]|[\p{L}\p{Nd}--[一-鿿]]+"
 
 
@@ -143,11 +143,12 @@ def _gather(seq: np.ndarray, weights: np.ndarray, y: np.ndarray, out: np.ndarray
         np.add.at(out, seq[on, i], weights[on, i, None] * y[on])
 
 
-def _scan(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
+def _scan(docs: DataFrame, items: Items, id_col: str, text_col: str, loose: bool) -> DataFrame:
     """One pass over the corpus: rows ``(kind, doc_id, seq)``.
 
     Kind 0: a window that holds ``RUN`` consecutive units of the vocabulary, without which nothing in it can
-    match. Kind 1: how many documents of an Arrow batch hold each unit (``doc_id`` is the number of documents).
+    match; if ``loose``, one that holds at least ``LOOSE`` of its units, the least that a paraphrase shares.
+    Kind 1: how many documents of an Arrow batch hold each unit (``doc_id`` is the number of documents).
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(items.vocabulary)
     size = len(items.vocabulary)
@@ -162,11 +163,15 @@ def _scan(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFram
                 if not len(seq):
                     continue
                 frequency[np.unique(seq[seq >= 0])] += 1
-                if doc is None or len(seq) < RUN:
+                if doc is None or len(seq) < (LOOSE if loose else RUN):
                     continue
                 held = np.concatenate([[0], np.cumsum(seq >= 0)])
-                full = np.flatnonzero(held[RUN:] - held[:-RUN] == RUN)
-                for s in np.unique(full // STRIDE * STRIDE).tolist():
+                if loose:
+                    starts = np.arange(0, max(1, len(seq) - RUN + 1), STRIDE)
+                    starts = starts[held[np.minimum(starts + WINDOW, len(seq))] - held[starts] >= LOOSE]
+                else:
+                    starts = np.unique(np.flatnonzero(held[RUN:] - held[:-RUN] == RUN) // STRIDE * STRIDE)
+                for s in starts.tolist():
                     part = seq[s : s + WINDOW]
                     doc_ids.append(doc)
                     found.append(np.pad(part, (0, WINDOW - len(part)), constant_values=-1).astype(np.int32))
@@ -256,7 +261,7 @@ def _search(found: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray,
                     for j in np.flatnonzero(cosine[row, col] >= close):
                         lcs[j] = subsequence(seq[row[j]], items.window_units[col[j]])
                         answers[j] = len(items.answers[item[j]] & set(seq[row[j]].tolist()))
-                        take[j] |= lcs[j] >= RUN // 2
+                        take[j] |= lcs[j] >= LOOSE
                 row, col, item = row[take], col[take], item[take]
                 out.append((doc[at + row], items.ids[item], cosine[row, col], exact[take], lcs[take], answers[take]))
             parts = [np.concatenate(x) for x in zip(*out)]
@@ -271,7 +276,7 @@ def candidates(docs: DataFrame, eval_items: DataFrame, settings: Settings = Sett
     """Checked candidates ``(doc_id, item_id, cosine, exact, lcs, answers)``, one row a window pair.
 
     ``exact``: at least 12 consecutive units of the item stand in the window. With ``close`` also pairs of at
-    least that cosine whose longest common subsequence has 6 units or more. Null ids and texts of fewer than
+    least that cosine whose longest common subsequence has 8 units or more. Null ids and texts of fewer than
     12 units match nothing; repeated rows repeat; an empty corpus or no items give no rows.
     """
     spark = docs.sparkSession
@@ -284,7 +289,7 @@ def candidates(docs: DataFrame, eval_items: DataFrame, settings: Settings = Sett
         items = Items([(r["i"], r["t"]) for r in part.collect()])
         if not len(items.window_item):
             continue
-        scanned = cut(_scan(docs, items, doc_id, text), "windows")
+        scanned = cut(_scan(docs, items, doc_id, text, close is not None), "windows")
         place = scanned.where("kind = 1").select("doc_id", F.posexplode("seq").alias("unit", "n")).groupBy("unit").agg(F.sum("n").alias("n"), F.sum("doc_id").alias("docs"))
         frequency, n_docs = np.zeros(len(items.vocabulary)), 0
         for r in place.collect():
