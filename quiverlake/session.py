@@ -77,6 +77,18 @@ def drop_cut(df: DataFrame | None) -> None:
     at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context: they need not have it installed or on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ql_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quiverlake-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "quiverlake"), "zip", os.path.dirname(root), os.path.basename(root)))
+    sc._ql_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """One input table of a data folder. With ``spread``, a table of fewer splits than cores is dealt out to all cores first.
 
