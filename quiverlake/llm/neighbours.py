@@ -42,7 +42,7 @@ def collapse(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
 def fit_router(base: DataFrame, n: int, dim: int, s: Settings) -> Router:
     """The shards' router from a sample of about ``sample_rows`` rows, chosen by the hash of the id."""
     step = max(1, n // s.sample_rows)
-    rows = base.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("v").limit(2 * s.sample_rows).toArrow()
+    rows = base.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).limit(2 * s.sample_rows).toArrow().sort_by("id")
     return Router(matrix(rows.column("v"), dim), max(1, -(-n // s.rows_per_shard)), s.seed)
 
 

@@ -77,11 +77,28 @@ _QUERIES = (p3_found, p3_typical, p4_sample, p4_items, p5_found, p5_heaps, p6_id
 
 _USABLE = f"vec_index IS NOT NULL AND v IS NOT NULL AND len(v) = {DIM} AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))"
 
+
+def _components_sql(rounds: int = 12) -> str:
+    """Members of clusters: all links by brute force, then the minimum label over neighbours, round by round."""
+    parts = [
+        f"i AS MATERIALIZED (SELECT vec_index, any_value(v)::DOUBLE[] AS v FROM vec_items WHERE {_USABLE} GROUP BY vec_index)",
+        "e AS MATERIALIZED (SELECT a.vec_index AS a, b.vec_index AS b FROM i a, i b WHERE list_distance(a.v, b.v) <= 2.5)",
+        "l0 AS MATERIALIZED (SELECT a, min(b) AS l FROM e GROUP BY a)",
+    ]
+    parts += [f"l{t} AS MATERIALIZED (SELECT e.a, min(l.l) AS l FROM e JOIN l{t - 1} l ON l.a = e.b GROUP BY e.a)" for t in range(1, rounds + 1)]
+    return "WITH " + ", ".join(parts) + f" SELECT a AS vec_index, l AS cluster_id FROM l{rounds} QUALIFY count(*) OVER (PARTITION BY l) >= 5"
+
+
 _SQL = {
     "p4_sample": f"""
 WITH items AS (SELECT DISTINCT vec_index FROM vec_items WHERE {_USABLE}),
 keys AS (SELECT vec_index, CAST('0x' || substr(md5('{SAMPLE_SEED}:' || vec_index), 1, 15) AS BIGINT) AS sample_key FROM items)
 SELECT vec_index, sample_key FROM keys ORDER BY sample_key, vec_index LIMIT {SAMPLE_SIZE}""",
+    "p3_found": _components_sql(),
+    "p5_found": f"""
+WITH i AS MATERIALIZED (SELECT vec_index, any_value(v)::DOUBLE[] AS v FROM vec_items WHERE {_USABLE} GROUP BY vec_index),
+n AS MATERIALIZED (SELECT a.vec_index AS a, b.vec_index AS b, list_distance(a.v, b.v) AS d FROM i a, i b WHERE a.vec_index <> b.vec_index AND d <= 2.5 QUALIFY row_number() OVER (PARTITION BY a.vec_index ORDER BY d, b.vec_index) <= 10)
+SELECT x.a AS index_a, x.b AS index_b FROM n x JOIN n y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
 
