@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("num_centroids", "kmeans_iter", "nprobe")
+SALTS = 64
 
 
 def clean(raw: DataFrame, status: str | None = "status") -> DataFrame:
@@ -49,22 +50,24 @@ def pareto(runs: DataFrame, score: str = "recall", cost: str = "elapsed_s") -> D
     """The runs no other run dominates: none costs no more and scores no less, one of them strictly. Equal runs all stay.
 
     By cost: a run is on the front if it has its cost's best score, and that beats every score at a lower
-    cost. The windows run over one row a distinct cost, so the single ordered partition stays small.
+    cost. Runs are first reduced to one row a distinct cost and to the fronts of ``SALTS`` parts of them, in
+    parallel; only what is left goes into the one ordered window.
     """
-    known = runs.where(F.col(score).isNotNull() & F.col(cost).isNotNull() & ~F.isnan(score) & ~F.isnan(cost))
-    best = known.groupBy(F.col(cost).alias("_cost")).agg(F.max(score).alias("_best"))
-    cheaper = Window.orderBy("_cost").rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_before", F.max("_best").over(cheaper)).where("_before IS NULL OR _best > _before")
-    return known.join(front, (F.col(cost) == F.col("_cost")) & (F.col(score) == F.col("_best")), "left_semi")
+    return _front(runs, score, cost, F.max, F.asc, lambda now, before: now > before)
 
 
 def pareto_compat(runs: DataFrame, score: str = "recall", cost: str = "elapsed_s") -> DataFrame:
     """The runs that dominate no other run (the front read the other way round)."""
+    return _front(runs, score, cost, F.min, F.desc, lambda now, before: now < before)
+
+
+def _front(runs: DataFrame, score: str, cost: str, extreme, order, beats) -> DataFrame:
     known = runs.where(F.col(score).isNotNull() & F.col(cost).isNotNull() & ~F.isnan(score) & ~F.isnan(cost))
-    worst = known.groupBy(F.col(cost).alias("_cost")).agg(F.min(score).alias("_worst"))
-    dearer = Window.orderBy(F.desc("_cost")).rowsBetween(Window.unboundedPreceding, -1)
-    back = worst.withColumn("_after", F.min("_worst").over(dearer)).where("_after IS NULL OR _worst < _after")
-    return known.join(back, (F.col(cost) == F.col("_cost")) & (F.col(score) == F.col("_worst")), "left_semi")
+    front = known.groupBy(F.col(cost).alias("_cost")).agg(extreme(score).alias("_best"))
+    for window in (Window.partitionBy(F.pmod(F.xxhash64("_cost"), F.lit(SALTS))), Window.partitionBy()):
+        earlier = window.orderBy(order("_cost")).rowsBetween(Window.unboundedPreceding, -1)
+        front = front.withColumn("_before", extreme("_best").over(earlier)).where(F.col("_before").isNull() | beats(F.col("_best"), F.col("_before"))).drop("_before")
+    return known.join(front, (F.col(cost) == F.col("_cost")) & (F.col(score) == F.col("_best")), "left_semi")
 
 
 def high_recall(runs: DataFrame, limit: float = 0.98, strict: bool = True) -> DataFrame:

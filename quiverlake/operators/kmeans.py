@@ -15,6 +15,7 @@ from quiverlake.operators.knn import prepare, seed_order
 #: The centroids are broadcast: at most so many values (256 MB of doubles).
 MAX_CENTROID_VALUES = 32_000_000
 CLOSE = 1e-9
+SALTS = 64
 
 
 def init(points: DataFrame, c: int, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -100,7 +101,9 @@ def sums(points: DataFrame, centroids: np.ndarray, id_col: str = "vec_id", vecto
 
     parts = rows.mapInArrow(run, "cid int, n bigint, total array<double>, inertia double")
     added = F.aggregate(F.collect_list("total"), F.array_repeat(F.lit(0.0), dim), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-    return parts.groupBy("cid").agg(F.sum("n").alias("n"), added.alias("total"), F.sum("inertia").alias("inertia"))
+    total = [F.sum("n").alias("n"), added.alias("total"), F.sum("inertia").alias("inertia")]
+    some = parts.groupBy("cid", (F.spark_partition_id() % SALTS).alias("salt")).agg(*total)  # in two rounds, so no group holds all tasks' rows
+    return some.groupBy("cid").agg(*total)
 
 
 def update(points: DataFrame, centroids: np.ndarray, id_col: str = "vec_id", vector: str = "embedding") -> tuple[np.ndarray, float]:
