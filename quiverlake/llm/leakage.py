@@ -31,7 +31,7 @@ class Settings:
     rank: int = 192
     oversample: int = 16
     min_cosine: float = 0.25
-    items_at_once: int = 2_000  # more items are taken in blocks of so many, which bounds what is broadcast
+    items_at_once: int = 500  # more items are taken in blocks of so many, which bounds what is broadcast
     seed: int = 5
 
 

@@ -30,9 +30,12 @@ WEIGHTS = Path(__file__).with_name("pii_weights.json")
 _FLAT = {0xFF01 + i: 0x21 + i for i in range(94)} | {c: 0x20 for c in (0x3000, 0xA0, 0x2002, 0x2003, 0x2007, 0x2009, 0x202F)} | {c: 0x2D for c in (0x2010, 0x2011, 0x2012, 0x2013, 0x2212)} | {0x2019: 0x27}
 
 
+_ODD = regex.compile("[" + "".join(map(chr, _FLAT)) + "]")
+
+
 def flatten(text: str) -> str:
     """``text`` with look-alike characters made plain; of the same length."""
-    return text.translate(_FLAT)
+    return text if text.isascii() or not _ODD.search(text) else text.translate(_FLAT)
 
 
 # ---------------------------------------------------------------- e-mail
@@ -40,9 +43,9 @@ _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 _LOCAL = r"(?<![\p{Latin}\d.+_\-])[\p{Latin}\d](?:[\p{Latin}\d._+\-]*[\p{Latin}\d_+\-])?"
 _DOT = r"(?:\.| ?[\[(] ?(?i:dot) ?[\])] ?)"
 EMAIL = [
-    ("plain", regex.compile(rf"{_LOCAL}(?:@|%40){_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,}}(?![A-Za-z0-9])")),
-    ("bracket", regex.compile(rf"{_LOCAL} ?[\[(] ?(?i:at) ?[\])] ?{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])")),
-    ("word", regex.compile(rf"{_LOCAL} (?i:at) {_LABEL}(?: (?i:dot) {_LABEL})* (?i:dot) [A-Za-z]{{2,}}(?![A-Za-z0-9])")),
+    ("plain", regex.compile(rf"{_LOCAL}(?:@|%40){_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,}}(?![A-Za-z0-9])"), regex.compile("@|%40"), MAX_SEGMENT),
+    ("bracket", regex.compile(rf"{_LOCAL} ?[\[(] ?(?i:at) ?[\])] ?{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])"), regex.compile(r"(?i)[\[(] ?at ?[\])]"), MAX_SEGMENT),
+    ("word", regex.compile(rf"{_LOCAL} (?i:at) {_LABEL}(?: (?i:dot) {_LABEL})* (?i:dot) [A-Za-z]{{2,}}(?![A-Za-z0-9])"), regex.compile(r" (?:AT|at|At) (?=[^\n]{1,60} (?:DOT|dot|Dot) )"), MAX_SEGMENT),
 ]
 
 # ---------------------------------------------------------------- phone
@@ -57,6 +60,7 @@ PHONE = [
     ("es", regex.compile(rf"{_EDGE}(?:(?:\+|00)34{_S})?[6789]\d\d(?:{_S}\d\d\d){{2}}{_STOP}")),
     ("any", regex.compile(rf"{_EDGE}(?:\+|00)[1-9]\d{{0,2}}(?:[ .·/\-]?\(?\d{{1,5}}\)?){{2,6}}{_STOP}")),
 ]
+ZONE = regex.compile(r"[+(]{0,2}\d[\d ().·/\-]{5,}[\dXx]")
 PHONE_CUE = regex.compile(r"(?i:tel|phone|fon|mobil|call|ring|dial|contact|backup|on-call|guardia|llamar|joindre|appel\w*|unter|oder|numéro)\W{0,6}$|[☎☏📞|]\s*$|(?:电话|手机|打|拨|致电)\W{0,4}$|->\s*$|(?i: au| or| unter| oder| al) ?[☎(]?\s*$")
 NUMBER_NOISE = regex.compile(r"(?i:part no\.?|key|snapshot|ticket|build|offset|run|version|no|row|rows|n=|id=|#)\s*$")
 
@@ -68,6 +72,8 @@ IDENTITY = [
     ("idnr", regex.compile(rf"{_EDGE}\d{{2}}(?P<s>[ ]?)\d{{3}}(?P=s)\d{{3}}(?P=s)\d{{3}}{_STOP}")),
     ("cnid", regex.compile(rf"{_EDGE}\d{{6}}(?P<s>[ \-]?)(?:18|19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?P=s)\d{{3}}[\dXx]{_STOP}")),
 ]
+QQ = regex.compile(r"(?i)[a-z]{2}[ \-]?\d\d[ \-]?\d\d[ \-]?\d\d[ \-]?[a-d]")
+DIGIT = regex.compile(r"\d")
 ID_CUE = regex.compile(r"(?i:ssn|social security|nino|ni number|ni no|national insurance|id ?nr|steuer[\p{L}\-]*|tax id|id card|resident id|identity|identification|identifikationsnummer|passport|personal number|dossier|formulario|antrag|nummer lautet)\.?[^\n.;。]{0,14}$|(?:no|nr|number|nummer)\.?:? ?$|(?:身份证|证件)(?:号码?)?[:： ]{0,2}$|[=]$")
 ID_FORM = regex.compile(r"(?i:form|paperwork|note|badge|request|dossier|formulario|antrag|登记|lists|cita|steht|lautet)[^\n]{0,46}$")
 
@@ -131,6 +137,14 @@ ZH_TIME = regex.compile(r"^(?:昨|今|明|已|刚|曾|说|称|负责|认为)")
 ZH_CLAUSE = regex.compile(r"(?:^|[^一-鿿])$")
 
 
+_BREAK = regex.compile("[ -]")
+_MIDDLE = regex.compile(r" \p{Lu}\.")
+_LATIN = regex.compile(r"[\p{Latin}\d]")
+_CAPITAL = regex.compile(r"\p{Lu}\p{L}+ $")
+_INITIAL_END = regex.compile(r"\p{Lu}\. $")
+_PARTICLE_END = regex.compile(r"\b(?:van|von|der|den|de|la|del) $|[dDO]'$")
+
+
 class Gazetteer:
     """The incomplete list of name parts, and the beginnings and endings common in it."""
 
@@ -151,7 +165,7 @@ class Gazetteer:
         """(listed, length of the longest common ending, of the longest common beginning) of a given (0) or family (1) name; the best of its hyphenated parts."""
         known = self.family if which else self.given
         best = (False, 0, 0)
-        for w in regex.split("[ -]", word.lower()):
+        for w in _BREAK.split(word.lower()):
             end = next((k for k in range(5, 1, -1) if w[-k:] in self.ends[which] and len(w) > k), 0)
             start = next((k for k in range(5, 2, -1) if w[:k] in self.starts[which] and len(w) > k), 0)
             best = max(best, (w in known, end, start))
@@ -183,14 +197,17 @@ def segments(text: str, g: Gazetteer) -> list[Segment]:
         f.update({f"{kind}:{k}": float(v) for k, v in features.items() if v})
         return f
 
-    if "@" in t or "%40" in t or regex.search(r"(?i)\bat\b", t):
-        for name, p in EMAIL:
-            for m in p.finditer(t, overlapped=False):
+    for name, p, mark, reach in EMAIL:
+        done = 0  # patterns run only around their marks
+        for at in mark.finditer(t):
+            if at.start() >= done and (m := p.search(t, max(done, at.start() - MAX_SEGMENT), min(n, at.end() + reach))):
                 add(m.start(), m.end(), "email", **{name: 1})
-    digits = any(c.isdigit() for c in t)
-    if digits:
+                done = m.end()
+    zones = [z.span() for z in ZONE.finditer(t)]
+    within = lambda p: (m for a, b in zones for m in p.finditer(t, a, min(n, b + 3)))
+    if zones:
         for name, p in PHONE:
-            for m in p.finditer(t):
+            for m in within(p):
                 s, e = m.span()
                 count = sum(c.isdigit() for c in m.group())
                 if not 7 <= count <= 15:
@@ -200,13 +217,15 @@ def segments(text: str, g: Gazetteer) -> list[Segment]:
                 f = found.get((s, e, "phone"))
                 if f:
                     f["phone:long"] = (e - s) / 20
+    if zones or QQ.search(t):
         for name, p in IDENTITY:
-            for m in p.finditer(t):
+            for m in p.finditer(t) if name == "nino" else within(p):
                 s, e = m.span()
                 before = t[max(0, s - 60) : s]
                 plain = "".join(c for c in m.group() if c.isalnum())
                 ok = mod_11_10(plain) if name == "idnr" else mod_11_2(plain) if name == "cnid" else name == "nino"
                 add(s, e, "identity_number", cue=bool(ID_CUE.search(before)), form=bool(ID_FORM.search(before)), noise=bool(NUMBER_NOISE.search(before)) and not ID_CUE.search(before), **{name: 1, f"{name}_cue": bool(ID_CUE.search(before)), f"{name}_ok": ok, f"{name}_not_ok": not ok, "qq": plain[:2].lower() == "qq"})
+    if DIGIT.search(t):
         for name, p in ADDRESS:
             for m in p.finditer(t, overlapped=True):
                 s, e = m.span()
@@ -214,7 +233,7 @@ def segments(text: str, g: Gazetteer) -> list[Segment]:
                 f = found.get((s, e, "street_address"))
                 if f:
                     f["street_address:long"] = (e - s) / 30
-        for m in ZH_ADDRESS.finditer(t):
+        for m in ZH_ADDRESS.finditer(t) if not t.isascii() else ():
             s0, e = m.span()
             name_end = m.end("name")
             while s0 > 0 and name_end - s0 < 6 and "一" <= t[s0 - 1] <= "鿿":
@@ -232,7 +251,7 @@ def segments(text: str, g: Gazetteer) -> list[Segment]:
             before, after = t[max(0, s - 24) : s], t[e : e + 16]
             initial = given.endswith(".") and len(given) <= 2
             tag = f"name:{'plain' if name == 'last_first_plain' else 'rev' if name == 'last_first' else 'fwd'}"
-            given_word = regex.split(" ", given)[0]
+            given_word = given.split(" ")[0]
             if initial:
                 f[f"{tag}_initial"] = 1.0
             else:
@@ -243,17 +262,17 @@ def segments(text: str, g: Gazetteer) -> list[Segment]:
             if g.look(family, 0)[0]:
                 f[f"{tag}_f_is_given"] = 1.0
             middle = m.group()[: m.group().find(family)] if name != "last_first" else given
-            f["name:middle"] = float(bool(regex.search(r" \p{Lu}\.", middle)))
-            f["name:glued"] = float(s > 0 and bool(regex.match(r"[\p{Latin}\d]", t[s - 1])))
+            f["name:middle"] = float(bool(_MIDDLE.search(middle)))
+            f["name:glued"] = float(s > 0 and bool(_LATIN.match(t[s - 1])))
             f["name:title"] = float(bool(NAME_TITLE.search(before)))
             f["name:cue"] = float(bool(NAME_CUE.search(before)))
             f["name:the"] = float(bool(NOT_BEFORE.search(before)))
             f["name:thing"] = float(bool(THING.search(after)))
             f["name:capital_next"] = float(bool(NOT_AFTER.match(after)))
-            f["name:capital_before"] = float(bool(regex.search(r"\p{Lu}\p{L}+ $", before)) and not f["name:title"])
-            f["name:initial_before"] = float(bool(regex.search(r"\p{Lu}\. $", before)) and not f["name:title"])
-            f["name:particle_before"] = float(bool(regex.search(r"\b(?:van|von|der|den|de|la|del) $|[dDO]'$", before)))
-    for m in ZH_NAME.finditer(t, overlapped=True):
+            f["name:capital_before"] = float(bool(_CAPITAL.search(before)) and not f["name:title"])
+            f["name:initial_before"] = float(bool(_INITIAL_END.search(before)) and not f["name:title"])
+            f["name:particle_before"] = float(bool(_PARTICLE_END.search(before)))
+    for m in ZH_NAME.finditer(t, overlapped=True) if not t.isascii() else ():
         for e in range(m.end("f") + 1, m.end() + 1):
             s = m.start()
             before, after = t[max(0, s - 5) : s], t[e : e + 4]
