@@ -81,11 +81,24 @@ def usable(v: ColumnOrName, dim: int) -> Column:
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int, dtype=np.float64) -> np.ndarray:
-    """An Arrow list column of vectors of ``dim`` components as a matrix; no nulls allowed."""
+    """An Arrow list column of vectors of ``dim`` components as a matrix, in its own precision if ``dtype`` is None; no nulls allowed."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     flat = pc.list_flatten(column) if isinstance(column, pa.Array) else column
-    return flat.to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(-1, dim)
+    values = flat.to_numpy(zero_copy_only=False)
+    return (values if dtype is None else values.astype(dtype, copy=False)).reshape(-1, dim)
+
+
+def whole(batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+    """The rows of a batch whose list in column ``i`` holds no null component; the check is one look where none does."""
+    column = batch.column(i)
+    flat = pc.list_flatten(column)
+    if not flat.null_count:
+        return batch
+    bad = pc.unique(pc.list_parent_indices(column).filter(pc.is_null(flat)))
+    keep = np.ones(len(column), bool)
+    keep[bad.to_numpy()] = False
+    return batch.filter(pa.array(keep))
 
 
 def lists(x: np.ndarray, kind=pa.float32()) -> pa.Array:

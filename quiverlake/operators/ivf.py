@@ -119,7 +119,7 @@ class IvfIndex:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                cid, names, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), dim)
+                cid, names, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), dim, None)
                 for c in np.unique(cid).tolist():
                     asking = row[ends[c] : ends[c + 1]]
                     if len(asking):
@@ -147,7 +147,7 @@ class IvfIndex:
         def search(a: pa.Table, b: pa.Table) -> pa.Table:
             block = Block(b.column("query_id").to_numpy(), matrix(b.column("qv"), dim), k, "l2", False)
             if a.num_rows and b.num_rows:
-                block.scan(a.column("vec_id").to_numpy(), matrix(a.column("embedding"), dim))
+                block.scan(a.column("vec_id").to_numpy(), matrix(a.column("embedding"), dim, None))
             r, col = np.nonzero(np.isfinite(block.best))
             return pa.Table.from_batches([_batch(block, r, col, b.column("probe_rank").to_numpy()[r])])
 

@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlake.functions.vectors import lists, matrix, squared_distances
+from quiverlake.functions.vectors import lists, matrix, whole
 from quiverlake.operators.knn import prepare, seed_order
 
 #: The centroids are broadcast: at most so many values (256 MB of doubles).
 MAX_CENTROID_VALUES = 32_000_000
-CLOSE = 1e-9
+#: Rounding of a single-precision distance, as a share of both squared norms, with room.
+ROUNDING = 1e-5
 SALTS = 64
 
 
@@ -41,21 +42,36 @@ def check(centroids: np.ndarray) -> np.ndarray:
     return centroids
 
 
-def nearest(x: np.ndarray, centroids: np.ndarray, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """(nearest centroid, squared distance) of each row, ties to the lowest centroid; distances term by term."""
-    cid = np.zeros(len(x), np.int64)
-    d2 = np.zeros(len(x))
+def nearest(x: np.ndarray, centroids: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centroid, squared distance) of each row, ties to the lowest centroid.
+
+    Products in single precision, in blocks that stay in the cache, leave the centroids within their rounding
+    of the best; among these the distances are computed term by term in double precision. A row that isn't
+    finite goes to centroid 0 at distance NaN.
+    """
+    n = len(x)
+    odd = ~np.isfinite(x).all(1)
+    if odd.any():
+        x = np.where(odd[:, None], 0, x)
+    cid, d2 = np.zeros(n, np.int64), np.zeros(n)
     norms = np.einsum("ij,ij->i", centroids, centroids)
-    for at in range(0, len(x), step):
+    turned, half = np.ascontiguousarray((-2 * centroids).T.astype(np.float32)), norms.astype(np.float32)
+    own = np.einsum("ij,ij->i", x, x, dtype=np.float64)
+    room = (ROUNDING * (own + norms.max())).astype(np.float32)
+    for at in range(0, n, step):
         part = x[at : at + step]
-        d = squared_distances(part, centroids, norms)
-        low = d.min(1)
-        row, col = np.nonzero(d <= (low * (1 + CLOSE) + CLOSE)[:, None])
-        diff = part[row] - centroids[col]
+        score = part.astype(np.float32, copy=False) @ turned
+        score += half
+        low = score.min(1)
+        row, col = np.nonzero(score <= (low + room[at : at + step])[:, None])
+        diff = part[row].astype(np.float64) - centroids[col]
         exact = np.einsum("ij,ij->i", diff, diff)
-        order = np.lexsort((col, exact, row))
-        first = order[np.searchsorted(row[order], np.arange(len(part)))]
-        cid[at : at + step], d2[at : at + step] = col[first], exact[first]
+        if len(row) > len(part):
+            order = np.lexsort((col, exact, row))
+            first = order[np.searchsorted(row[order], np.arange(len(part)))]
+            col, exact = col[first], exact[first]
+        cid[at : at + step], d2[at : at + step] = col, exact
+    cid[odd], d2[odd] = 0, np.nan
     return cid, d2
 
 
@@ -63,14 +79,15 @@ def assign(points: DataFrame, centroids: np.ndarray, id_col: str = "vec_id", vec
     """``(vec_id, cid, d2c[, embedding])``: each row's nearest centroid and squared distance. Map-only."""
     shared = points.sparkSession.sparkContext.broadcast(check(centroids))
     dim = centroids.shape[1]
-    rows = prepare(points, id_col, vector, ("vec_id", "v")).where(F.size("v") == dim)
+    rows = prepare(points, id_col, vector, ("vec_id", "v"), components=False).where(F.size("v") == dim)
     names = ["vec_id", "cid", "d2c"] + (["embedding"] if with_vector else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = whole(batch, 1)
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column(1), dim)
+            x = matrix(batch.column(1), dim, None)
             cid, d = nearest(x, shared.value)
             out = [batch.column(0), pa.array(cid.astype(np.int32)), pa.array(d)]
             yield pa.RecordBatch.from_arrays(out + ([lists(x.astype(np.float32))] if with_vector else []), names)
@@ -85,15 +102,18 @@ def sums(points: DataFrame, centroids: np.ndarray, id_col: str = "vec_id", vecto
     """
     shared = points.sparkSession.sparkContext.broadcast(check(centroids))
     c, dim = centroids.shape
-    rows = prepare(points, id_col, vector, ("vec_id", "v")).where(F.size("v") == dim).select("v")
+    rows = prepare(points, id_col, vector, ("vec_id", "v"), components=False).where(F.size("v") == dim).select("v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, inertia = np.zeros((c, dim)), np.zeros(c, np.int64), np.zeros(c)
         for batch in batches:
+            batch = whole(batch, 0)
             if batch.num_rows:
-                x = matrix(batch.column(0), dim)
+                x = matrix(batch.column(0), dim, None)
                 cid, d = nearest(x, shared.value)
-                np.add.at(total, cid, x)
+                order = np.argsort(cid, kind="stable")
+                cells, starts = np.unique(cid[order], return_index=True)
+                total[cells] += np.add.reduceat(x[order].astype(np.float64, copy=False), starts, 0)
                 n += np.bincount(cid, minlength=c)
                 inertia += np.bincount(cid, d, minlength=c)
         at = np.flatnonzero(n)

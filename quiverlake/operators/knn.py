@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiverlake.functions.vectors import METRICS, matrix, squared_distances
+from quiverlake.functions.vectors import METRICS, whole
 
 RESULT = "query_id bigint, vec_id bigint, dist double, dist_sq double"
 SLACK = 1e-9
+#: Rounding of a single-precision distance, as a share of both squared norms, with room.
+ROUNDING = 1e-5
 
 
 def seed_order(vec_id: Column, seed: int) -> Column:
@@ -26,10 +28,16 @@ def sample_queries(points: DataFrame, n: int, seed: int = 1, id_col: str = "vec_
     return drawn.orderBy(seed_order(F.col("query_id"), seed), "query_id").limit(n)
 
 
-def prepare(df: DataFrame, id_col: str, vector: str, names: tuple[str, str]) -> DataFrame:
-    """Ids and vectors without nulls in either."""
-    fit = F.col(id_col).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
-    return df.where(fit).select(F.col(id_col).cast("bigint").alias(names[0]), F.col(vector).cast("array<double>").alias(names[1]))
+def prepare(df: DataFrame, id_col: str, vector: str, names: tuple[str, str], components: bool = True) -> DataFrame:
+    """Ids and vectors without nulls in either; single precision stays so on the way to the kernels, which compute in double.
+
+    Null components are looked for here, or with ``components`` false by the kernel (``vectors.whole``).
+    """
+    single = df.schema[vector].dataType.simpleString() == "array<float>"
+    fit = F.col(id_col).isNotNull() & F.col(vector).isNotNull()
+    if components:
+        fit = fit & ~F.exists(vector, lambda x: x.isNull())
+    return df.where(fit).select(F.col(id_col).cast("bigint").alias(names[0]), (F.col(vector) if single else F.col(vector).cast("array<double>")).alias(names[1]))
 
 
 def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +46,7 @@ def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if len(lengths) and (lengths == lengths[0]).all():
         return flat.reshape(len(lengths), lengths[0]), lengths
-    out = np.zeros((len(lengths), lengths.max() if len(lengths) else 0))
+    out = np.zeros((len(lengths), lengths.max() if len(lengths) else 0), flat.dtype)
     out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = flat
     return out, lengths
 
@@ -49,6 +57,9 @@ class Block:
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, metric: str, exclude_self: bool):
         self.ids, self.q, self.k, self.metric, self.exclude_self = ids, q, k, metric, exclude_self
         n = len(ids)
+        q = self.q = q.astype(np.float64, copy=False)
+        self.norms = np.einsum("ij,ij->i", q, q).astype(np.float32)
+        self.turned = (-2 * q).astype(np.float32)
         self.best = np.full((n, k), np.inf)
         self.best_id = np.full((n, k), np.iinfo(np.int64).max, np.int64)
 
@@ -69,23 +80,30 @@ class Block:
     def _scan(self, ids: np.ndarray, x: np.ndarray) -> None:
         d = self.q.shape[1]
         x = x[:, :d] if x.shape[1] >= d else np.pad(x, ((0, 0), (0, d - x.shape[1])))
-        if self.metric == "l2":
-            near = squared_distances(self.q, x)
+        room = 0.0
+        if self.metric == "l2":  # single precision first; what may belong to the best is computed exactly below
+            own = np.einsum("ij,ij->i", x, x, dtype=np.float64)
+            near = self.turned @ x.T.astype(np.float32, copy=False)
+            near += own.astype(np.float32)
+            near += self.norms[:, None]
+            room = ROUNDING * (self.norms + own.max(initial=0.0))
         else:
+            x = x.astype(np.float64, copy=False)
             na, nb = np.linalg.norm(self.q, axis=1)[:, None], np.linalg.norm(x, axis=1)[None, :]
             scale = na * nb
             near = np.where(scale == 0, 1.0, 1 - (self.q @ x.T) / np.where(scale == 0, 1, scale))
         if self.exclude_self:
             near[self.ids[:, None] == ids[None, :]] = np.inf
-        near[np.isnan(near)] = np.inf
+        if self.metric != "l2":
+            near[np.isnan(near)] = np.inf
         limit = self.best[:, -1]
         if near.shape[1] > self.k:
-            limit = np.minimum(limit, np.partition(near, self.k - 1, 1)[:, self.k - 1])
+            limit = np.minimum(limit, np.partition(near, self.k - 1, 1)[:, self.k - 1] + room)
         limit = np.where(np.isfinite(limit), limit, 1e300)
-        row, col = np.nonzero(near <= (limit * (1 + SLACK) + SLACK)[:, None])
+        row, col = np.nonzero(near <= (limit * (1 + SLACK) + SLACK + room)[:, None])
         if not len(row):
             return
-        value = self.exact(row, x[col])
+        value = self.exact(row, x[col].astype(np.float64, copy=False))
         rows = np.concatenate([np.repeat(np.arange(len(self.ids)), self.k), row])
         values = np.concatenate([self.best.ravel(), value])
         names = np.concatenate([self.best_id.ravel(), ids[col]])
@@ -123,7 +141,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", ma
     ranked = Window.partitionBy("query_id").orderBy("dist_sq", "vec_id")
     if max_base is not None:
         base = base.where(F.col(line_col or id_col) < max_base)
-    rows = prepare(base, id_col, vector, ("vec_id", "v"))
+    rows = prepare(base, id_col, vector, ("vec_id", "v"), components=False)
     asked = prepare(queries, "query_id", "qv", ("query_id", "qv")).dropDuplicates(["query_id"]).orderBy("query_id") if k > 0 else None
     blocks = _blocks(asked, query_block) if asked is not None else []
     for ids, q in blocks:
@@ -133,6 +151,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", ma
             ids, q = shared.value
             parts: dict[int, Block] = {}
             for batch in batches:
+                batch = whole(batch, 1)
                 if not batch.num_rows:
                     continue
                 x, lengths = _ragged(batch.column(1))

@@ -141,3 +141,17 @@ def test_recall_counts(spark):
     found = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (1, 9, 3)], "query_id int, vec_id int, rank int")
     assert recall.recall_per_query(found, truth, 10).head()["recall"] == 0.2
     assert recall.recall_per_query(found.limit(0), truth, 10).head()["recall"] == 0.0
+
+
+def test_rows_that_are_not_finite(spark):
+    p = frame(spark, [[0, 0], [float("nan"), 1], [5, 5], [float("inf"), 0]])
+    got = {r["vec_id"]: r["cid"] for r in kmeans.assign(p, np.array([[5.0, 5.0], [0.0, 0.0]])).collect()}
+    assert got == {0: 1, 1: 0, 2: 0, 3: 0}
+    q = spark.createDataFrame([(9, [0.0, 0.0])], "query_id bigint, qv array<double>")
+    assert [r["vec_id"] for r in knn.knn_join(q, p, 4).orderBy("rank").collect()] == [0, 2]
+
+
+def test_null_components_take_no_part(spark):
+    p = spark.createDataFrame([(1, [0.0, 0.0]), (2, [None, 1.0]), (3, [9.0, None]), (4, [9.0, 9.0])], "vec_id bigint, embedding array<float>")
+    assert sorted(r["vec_id"] for r in kmeans.assign(p, np.array([[0.0, 0.0], [9.0, 9.0]])).collect()) == [1, 4]
+    assert sum(r["n"] for r in kmeans.sums(p, np.array([[0.0, 0.0]])).collect()) == 2
