@@ -21,17 +21,21 @@ SALTS = 64
 
 def init(points: DataFrame, c: int, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(cid, vec_id, cv)``: the first ``c`` rows in seed order, without replacement; ``c`` is capped at the number of rows."""
-    if c < 1:
-        raise ValueError("at least one centroid")
-    drawn = prepare(points, id_col, vector, ("vec_id", "cv")).select("vec_id", "cv", seed_order(F.col("vec_id"), seed).alias("o")).orderBy("o", "vec_id").limit(c)
     from pyspark.sql import Window
 
+    drawn = _drawn(points, c, seed, id_col, vector)
     return drawn.select((F.row_number().over(Window.orderBy("o", "vec_id")) - 1).alias("cid"), "vec_id", "cv")  # c rows in the window
 
 
+def _drawn(points: DataFrame, c: int, seed: int, id_col: str, vector: str) -> DataFrame:
+    if c < 1:
+        raise ValueError("at least one centroid")
+    return prepare(points, id_col, vector, ("vec_id", "cv")).select("vec_id", "cv", seed_order(F.col("vec_id"), seed).alias("o")).orderBy("o", "vec_id").limit(c)
+
+
 def seeds(points: DataFrame, c: int, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> np.ndarray:
     """The first centroids as a matrix."""
-    return check(np.array([r["cv"] for r in init(points, c, seed, id_col, vector).orderBy("cid").collect()], np.float64))
+    return check(np.array([r["cv"] for r in _drawn(points, c, seed, id_col, vector).collect()], np.float64))
 
 
 def check(centroids: np.ndarray) -> np.ndarray:

@@ -142,7 +142,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", ma
     if max_base is not None:
         base = base.where(F.col(line_col or id_col) < max_base)
     rows = prepare(base, id_col, vector, ("vec_id", "v"), components=False)
-    asked = prepare(queries, "query_id", "qv", ("query_id", "qv")).dropDuplicates(["query_id"]).orderBy("query_id") if k > 0 else None
+    asked = prepare(queries, "query_id", "qv", ("query_id", "qv")).dropDuplicates(["query_id"]) if k > 0 else None
     blocks = _blocks(asked, query_block) if asked is not None else []
     for ids, q in blocks:
         shared = spark.sparkContext.broadcast((ids, q))
@@ -173,9 +173,10 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", ma
 
 
 def _blocks(asked: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries, block by block and by length; the driver holds one block at a time."""
+    """The queries, block by block and by length; the driver holds one block, or one partition, at a time."""
     held: dict[int, list] = {}
-    for r in asked.toLocalIterator():
+    first = asked.limit(size + 1).collect()
+    for r in first if len(first) <= size else asked.toLocalIterator():
         part = held.setdefault(len(r["qv"]), [])
         part.append((r["query_id"], r["qv"]))
         if len(part) == size:

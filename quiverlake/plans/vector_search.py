@@ -60,7 +60,7 @@ def parse_line_with_id(spark: SparkSession, d: str) -> DataFrame:
 
 def parse_line_reject(spark: SparkSession, d: str) -> DataFrame:
     """Whether a document's text is a vector line."""
-    docs = table(spark, d, "documents").select("doc_id", vector_text.parse_vector_line(F.col("text")).alias("p"))
+    docs = table(spark, d, "documents", spread=True).select("doc_id", vector_text.parse_vector_line(F.col("text")).alias("p"))
     return docs.select("doc_id", F.col("p").isNotNull().alias("accepted"), F.coalesce(F.size("p.vec"), F.lit(0)).alias("dim"))
 
 

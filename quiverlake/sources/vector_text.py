@@ -51,7 +51,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         total = 0 if file != last else total
         start.append((file, at, total - low))
         total, last = total + n, file
-    shift = F.broadcast(spark.createDataFrame(start, "file string, block bigint, shift bigint"))  # one row a split
+    shift = spark.createDataFrame(start, "file string, block bigint, shift bigint")  # one row a split
+    shift = F.broadcast(shift) if len(start) <= 100_000 else shift
     return raw.join(shift, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line_idx"), "value")
 
 
@@ -78,7 +79,7 @@ def of_dimension(parsed: DataFrame, dim: int | None) -> DataFrame:
     if dim is not None:
         return parsed.where(F.size("vec") == dim)
     first = parsed.groupBy("file").agg(F.min_by(F.size("vec"), "line_idx").alias("dim"))
-    return parsed.join(F.broadcast(first), "file").where(F.size("vec") == F.col("dim")).drop("dim")
+    return parsed.join(first, "file").where(F.size("vec") == F.col("dim")).drop("dim")
 
 
 def from_flat(flat: DataFrame, dim: int, column: str = "flat", keep: tuple[str, ...] = ()) -> DataFrame:
