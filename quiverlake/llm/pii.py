@@ -72,7 +72,7 @@ IDENTITY = [
     ("idnr", regex.compile(rf"{_EDGE}\d{{2}}(?P<s>[ ]?)\d{{3}}(?P=s)\d{{3}}(?P=s)\d{{3}}{_STOP}")),
     ("cnid", regex.compile(rf"{_EDGE}\d{{6}}(?P<s>[ \-]?)(?:18|19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?P=s)\d{{3}}[\dXx]{_STOP}")),
 ]
-QQ = regex.compile(r"(?i)[a-z]{2}[ \-]?\d\d[ \-]?\d\d[ \-]?\d\d[ \-]?[a-d]")
+SIX = regex.compile(r"\d\d[ \-]?\d\d[ \-]?\d\d[ \-]?[A-Da-d](?![\p{Latin}\d_])")
 DIGIT = regex.compile(r"\d")
 ID_CUE = regex.compile(r"(?i:ssn|social security|nino|ni number|ni no|national insurance|id ?nr|steuer[\p{L}\-]*|tax id|id card|resident id|identity|identification|identifikationsnummer|passport|personal number|dossier|formulario|antrag|nummer lautet)\.?[^\n.;。]{0,14}$|(?:no|nr|number|nummer)\.?:? ?$|(?:身份证|证件)(?:号码?)?[:： ]{0,2}$|[=]$")
 ID_FORM = regex.compile(r"(?i:form|paperwork|note|badge|request|dossier|formulario|antrag|登记|lists|cita|steht|lautet)[^\n]{0,46}$")
@@ -103,10 +103,10 @@ _NUM = r"\d{1,5}(?:[\-/]\d{1,4})?[A-Za-z]?"
 _EN = "|".join(EN_STREETS + [w.upper() for w in EN_STREETS])
 _WORD = r"\p{Lu}[\p{L}'\-]*"
 ADDRESS = [
-    ("en", regex.compile(rf"(?<![\p{{L}}\d.,\-/:])(?:{_NUM})(?: (?:[NSEW]|NE|NW|SE|SW)\.?| (?i:north|south|east|west))?(?: {_WORD}){{1,3}} (?:{_EN})(?: (?:[NSEW]|NE|NW|SE|SW)(?![\p{{L}}.]))?(?![\p{{L}}\d])")),
-    ("de", regex.compile(rf"(?<![\p{{L}}\d])(?:(?:\p{{Lu}}\p{{L}}+[ \-])?\p{{Lu}}[\p{{L}}\-]*(?:{'|'.join(DE_STREETS)})|(?:(?:Am|Im|An der|An den|Auf der|Auf dem|In der|Zum|Zur|Hinter dem|Unter den) )(?:\p{{Lu}}\p{{L}}+ ?){{1,2}}|\p{{Lu}}\p{{L}}+er (?:Straße|Str\.|Weg|Platz|Allee|Ring|Damm|Ufer))(?i:) ?\d{{1,4}}(?: ?[a-h](?![\p{{L}}]))?(?:[\-/]\d{{1,3}})?(?![\d\p{{L}}])(?!\.\d)")),
-    ("fr", regex.compile(rf"(?<![\p{{L}}\d.,\-/:])\d{{1,4}}(?: ?(?:bis|ter|quater)\b| ?[A-D]\b)?,? (?i:{'|'.join(FR_STREETS)}) (?:(?:de la |de l'|du |des |de |d'|la |le |les |l'))?{_WORD}(?: (?:de la |de l'|du |des |de |d')?{_WORD}){{0,3}}(?![\p{{L}}])")),
-    ("es", regex.compile(rf"(?<![\p{{L}}\d])(?i:{'|'.join(ES_STREETS)}) ?(?:(?:de los |de las |de la |del |de |la |el ))?{_WORD}(?: (?:(?:de los |de las |de la |del |de |y ))?{_WORD}){{0,3}},? (?:n\.? ?[ºo°]\.? ?|núm\.? |nº ?|#)?\d{{1,4}}(?: ?(?:bis)\b|[A-Za-z]\b)?(?![\d\p{{L}}])(?!\.?[ºª°])")),
+    ("en", regex.compile(rf"(?<![\p{{L}}\d.,\-/:])(?:{_NUM})(?: (?:[NSEW]|NE|NW|SE|SW)\.?| (?i:north|south|east|west))?(?: {_WORD}){{1,3}} (?:{_EN})(?: (?:[NSEW]|NE|NW|SE|SW)(?![\p{{L}}.]))?(?![\p{{L}}\d])"), ()),
+    ("de", regex.compile(rf"(?<![\p{{L}}\d])(?:(?:\p{{Lu}}\p{{L}}+[ \-])?\p{{Lu}}[\p{{L}}\-]*(?:{'|'.join(DE_STREETS)})|(?:(?:Am|Im|An der|An den|Auf der|Auf dem|In der|Zum|Zur|Hinter dem|Unter den) )(?:\p{{Lu}}\p{{L}}+ ?){{1,2}}|\p{{Lu}}\p{{L}}+er (?:Straße|Str\.|Weg|Platz|Allee|Ring|Damm|Ufer))(?i:) ?\d{{1,4}}(?: ?[a-h](?![\p{{L}}]))?(?:[\-/]\d{{1,3}})?(?![\d\p{{L}}])(?!\.\d)"), ("stra", "str.", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "steig", "chaussee", "graben", "stieg", "pfad", "zeile", "am ", "im ", "an de", "auf de", "in der", "zum ", "zur ", "hinter dem", "unter den")),
+    ("fr", regex.compile(rf"(?<![\p{{L}}\d.,\-/:])\d{{1,4}}(?: ?(?:bis|ter|quater)\b| ?[A-D]\b)?,? (?i:{'|'.join(FR_STREETS)}) (?:(?:de la |de l'|du |des |de |d'|la |le |les |l'))?{_WORD}(?: (?:de la |de l'|du |des |de |d')?{_WORD}){{0,3}}(?![\p{{L}}])"), tuple(w.replace("\\.?", "").replace("\\.", ".") + " " for w in FR_STREETS) + ("av.", "bd.")),
+    ("es", regex.compile(rf"(?<![\p{{L}}\d])(?i:{'|'.join(ES_STREETS)}) ?(?:(?:de los |de las |de la |del |de |la |el ))?{_WORD}(?: (?:(?:de los |de las |de la |del |de |y ))?{_WORD}){{0,3}},? (?:n\.? ?[ºo°]\.? ?|núm\.? |nº ?|#)?\d{{1,4}}(?: ?(?:bis)\b|[A-Za-z]\b)?(?![\d\p{{L}}])(?!\.?[ºª°])"), tuple(w.replace("\\.?", "").replace("\\.", ".") for w in ES_STREETS)),
 ]
 ZH_ADDRESS = regex.compile(rf"(?P<name>[一-鿿]{{1,8}}?)(?:{'|'.join(ZH_STREETS)})(?:[东南西北中一二三四五六七八九十]段)?\d{{1,5}}(?:[之\-]\d{{1,4}})?号")
 ZH_TO = ("寄往", "住址", "地址", "送到", "寄到", "寄至", "送往", "住在", "位于", "家住", "发往", "地点", "在")
@@ -121,13 +121,15 @@ NAME = [
     ("first_last", regex.compile(rf"{_LEFT}(?P<g>{_NAMEWORD})(?: {_INITIAL}){{0,2}} (?P<f>{_PART}{_NAMEWORD}){_RIGHT}")),
     ("initial_last", regex.compile(rf"{_LEFT}(?P<g>{_INITIAL})(?:[ ]?{_INITIAL})? (?P<f>{_PART}{_NAMEWORD}){_RIGHT}")),
     ("last_first", regex.compile(rf"{_LEFT}(?P<f>{_PART}{_NAMEWORD}), (?P<g>{_NAMEWORD}(?: {_INITIAL}){{1,2}}|{_NAMEWORD}{_RIGHT}|{_INITIAL})")),
-    ("last_first_plain", regex.compile(rf"{_LEFT}(?P<f>{_PART}{_NAMEWORD}) (?P<g>{_NAMEWORD}|{_INITIAL}){_RIGHT}")),
+    ("last_first_plain", regex.compile(rf"{_LEFT}(?P<f>{_PART}{_NAMEWORD}) (?P<g>{_INITIAL})(?![\p{{L}}\d]| {_NAMEWORD})")),
 ]
 NAME_TITLE = regex.compile(r"(?:\b(?i:dr|mr|mrs|ms|prof|herr|herrn|frau|mme|mlle|sr|sra|don|doña)\.?) $")
 NAME_CUE = regex.compile(r"(?i:\b(?:by|for|from|owner|attention|according to|contact|ping|of|name|to|für|hd\.|ist|bitte|an|selon|joindre|à|nom de|attention de|según|avisar a|junto a|atención de|todo))[\s:(\"|]*$|(?:姓名|收件人|联系人|抄送)[:： ]?$")
 NOT_BEFORE = regex.compile(r"(?i:\b(?:the|a|an|der|die|das|le|la|les|el|los|this|that)) $")
 NOT_AFTER = regex.compile(r"\s(?:\p{Lu}\p{Ll}+)\b")
 THING = regex.compile(r"^\s(?i:sweep|index|branch|street|road|avenue|lane|drive|court|terrace|kernel|kernels|tiles|institute|university|gmbh|inc|ltd|corp|conference|award|method|algorithm|theorem|lemma|test|bridge|river|valley|station|project|library|model|cluster|server|suite|plot)\b")
+#: Words that begin sentences and are no names.
+NO_NAME = frozenset("the a an this that these those our your his her their its my we they he she it i if in on at of for from to by with and or but not no so as is are was were be been let please see also each every all any some none when while where what which who why how before after given although because since until unless der die das ein eine im am le la les un une el los las una se no".split())
 #: Frequent and some rare family names.
 ZH_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤温康施文牛樊葛邢安齐易乔伍庞颜倪庄聂章鲁岳翟殷詹申欧耿关兰焦俞左柳甘祝包宁尚符舒阮柯纪梅童凌毕单季裴霍涂成苗谷盛曲翁冉骆蓝路游辛靳管柴蒙鲍华喻祁房解牟屈滕卫岑嵇郦蔺柏虞闻荀"
 ZH_NAME = regex.compile(rf"(?P<f>[{ZH_FAMILY}])(?P<g>[一-鿿]{{1,2}})")
@@ -213,20 +215,24 @@ def segments(text: str, g: Gazetteer) -> list[Segment]:
                 if not 7 <= count <= 15:
                     continue
                 before = t[max(0, s - 24) : s]
-                add(s, e, "phone", cue=bool(PHONE_CUE.search(before)), plus=m.group()[0] == "+", paren="(" in m.group(), noise=bool(NUMBER_NOISE.search(before)), id_cue=bool(ID_CUE.search(before)), bare=m.group().isdigit(), short=count < 10, long=e - s, **{name: 1})
+                add(s, e, "phone", cue=bool(PHONE_CUE.search(before)), plus=m.group()[0] == "+", paren="(" in m.group(), noise=bool(NUMBER_NOISE.search(before)), id_cue=bool(ID_CUE.search(before)), bare=m.group().isdigit(), alone=s == 0 or t[s - 1] == "\n", listed=before[-2:] == ", ", short=count < 10, long=e - s, **{name: 1})
                 f = found.get((s, e, "phone"))
                 if f:
                     f["phone:long"] = (e - s) / 20
-    if zones or QQ.search(t):
+    sixes = [(max(0, x.start() - 3), x.end() - 2) for x in SIX.finditer(t)]
+    if zones or sixes:
         for name, p in IDENTITY:
-            for m in p.finditer(t) if name == "nino" else within(p):
+            for m in (m for a, b in sixes for m in p.finditer(t, a, min(n, b + 3))) if name == "nino" else within(p):
                 s, e = m.span()
                 before = t[max(0, s - 60) : s]
                 plain = "".join(c for c in m.group() if c.isalnum())
                 ok = mod_11_10(plain) if name == "idnr" else mod_11_2(plain) if name == "cnid" else name == "nino"
                 add(s, e, "identity_number", cue=bool(ID_CUE.search(before)), form=bool(ID_FORM.search(before)), noise=bool(NUMBER_NOISE.search(before)) and not ID_CUE.search(before), **{name: 1, f"{name}_cue": bool(ID_CUE.search(before)), f"{name}_ok": ok, f"{name}_not_ok": not ok, "qq": plain[:2].lower() == "qq"})
     if DIGIT.search(t):
-        for name, p in ADDRESS:
+        low = t.lower()
+        for name, p, hints in ADDRESS:
+            if hints and not any(h in low for h in hints):
+                continue
             for m in p.finditer(t, overlapped=True):
                 s, e = m.span()
                 add(s, e, "street_address", **{name: 1, "cue": bool(ADDRESS_CUE.search(t[max(0, s - 30) : s])), "long": (e - s) / 30})
@@ -250,6 +256,10 @@ def segments(text: str, g: Gazetteer) -> list[Segment]:
                 continue
             before, after = t[max(0, s - 24) : s], t[e : e + 16]
             initial = given.endswith(".") and len(given) <= 2
+            if name == "first_last" and " " not in family and given.count(" ") == 0 and m.end("g") + 1 == m.start("f"):
+                f["name:last_first_plain"] = 1.0  # the same two words may be the other way round
+                _role(f, g, family, 0, "name:plain_g")
+                _role(f, g, given, 1, "name:plain_f")
             tag = f"name:{'plain' if name == 'last_first_plain' else 'rev' if name == 'last_first' else 'fwd'}"
             given_word = given.split(" ")[0]
             if initial:
@@ -262,6 +272,9 @@ def segments(text: str, g: Gazetteer) -> list[Segment]:
             if g.look(family, 0)[0]:
                 f[f"{tag}_f_is_given"] = 1.0
             middle = m.group()[: m.group().find(family)] if name != "last_first" else given
+            f["name:no_name"] = float(given_word.lower() in NO_NAME or family.lower() in NO_NAME)
+            f["name:capitals"] = float(given.isupper() and family.isupper() and len(given) > 2)
+            f["name:all_strange"] = float(bool(f.get(f"{tag}_f_strange") and (initial or f.get(f"{tag}_g_strange"))))
             f["name:middle"] = float(bool(_MIDDLE.search(middle)))
             f["name:glued"] = float(s > 0 and bool(_LATIN.match(t[s - 1])))
             f["name:title"] = float(bool(NAME_TITLE.search(before)))
@@ -281,7 +294,7 @@ def segments(text: str, g: Gazetteer) -> list[Segment]:
             clause = bool(ZH_CLAUSE.search(before))
             if not (ahead or clause):
                 continue
-            add(s, e, "name", zh=1, zh_ahead=ahead, zh_behind=behind, zh_clause=clause and not ahead, zh_clause_time=clause and not ahead and bool(ZH_TIME.search(after)), zh_one=e - s == 2, zh_framed=ahead and behind)
+            add(s, e, "name", zh=1, zh_ahead=ahead, zh_behind=behind, zh_clause=clause and not ahead, zh_clause_time=clause and not ahead and bool(ZH_TIME.search(after)), zh_one=e - s == 2, zh_framed=ahead and behind, zh_digit=clause and before[-1:].isdigit())
     return [(s, e, k, f) for (s, e, k), f in found.items() if e <= n]
 
 

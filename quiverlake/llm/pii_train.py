@@ -14,7 +14,7 @@ from collections import defaultdict
 
 from quiverlake.llm.pii import WEIGHTS, Gazetteer, best_segments, log_total, mod_11_2, mod_11_10, segments
 
-TRAIN_TEXTS, TEST_TEXTS, ROUNDS, PENALTY = 6000, 1500, 14, 2e-5
+TRAIN_TEXTS, TEST_TEXTS, ROUNDS, PENALTY = 9000, 1500, 14, 2e-5
 
 
 class Maker:
@@ -48,11 +48,15 @@ class Maker:
         return s
 
     def given(self) -> str:
+        if self.r.random() < 0.12:  # like nothing in the list
+            return self.pick("Tilda", "Kofi", "Aiko", "Sanna", "Pius", "Wolke", "Tamsin", "Xaver", "Imke", "Bogdan", "Yusuf", "Mahin", "Edwin", "Ouida", "Gwyn", "Ingo", "Naoki", "Udin", "Zsofi", "Hauke")
         return self.r.choice(self.given_all)
 
     def family(self) -> str:
         f = self.r.choice(self.family_all)
         x = self.r.random()
+        if x > 0.94:
+            return self.pick("Okafor", "Tanaka", "Virtanen", "Ødegård", "Núñez", "Čapek", "Mbeki", "Quispe", "Żuraw", "Haddad", "Ivanic", "Ystad")
         if x < 0.04:
             return f + "-" + self.r.choice(self.family_all)
         if x < 0.08:
@@ -179,7 +183,7 @@ class Maker:
                 "The second pass ran twice as long as planned.",
                 "Plot attached: cost over time, log axis.",
                 f"Cell {d(3)} took {d(2)}.{d(2)} ms per query.",
-                f"the {f} Index needs {d(3)} probes.",
+                *(f"the {f} Index needs {d(3)} probes.", f"The {f} Sweep beat the {g} branch by {d(2)}.{d(2)} ms.", f"The {g} {self.pick('Sweep', 'Index', 'Suite', 'Method')} won.") * 2,
                 f"The {f} Sweep beat the {g} branch by {d(2)}.{d(2)} ms.",
                 f"snapshot {d(18)} is stale.",
                 f"part no. {d(5)} {d(3)} {d(5)} fits rack 3.",
@@ -194,11 +198,15 @@ class Maker:
                 f"QQ-plot {d(2)} {d(3)} {d(2)} looked flat.",
                 f"Grid Runner {d(3)} collided with Lane Keeper {d(2)}.",
                 f"0.{d(5)} -1.{d(5)} 0.{d(5)} 2.{d(5)} -0.{d(5)}",
-                f"total {d(9)} rows, {d(3)} {d(3)} {d(4)} bytes",
+                f"total {d(9)} rows, {d(3)} {d(5)} bytes, {d(12)} in all, key {d(10)}",
                 f"Let's keep {d(4)}/{d(2)}/{d(3)} as the baseline. Nothing Else Changed.",
                 f"Der Lauf auf fen-{d(2)} verlor etwa {d(5)} Zeilen.",
                 f"La Reconstruction Du Nord a pris {d(2)}.{d(2)} ms par requête.",
                 f"Average recall@10: 0.{d(4)}",
+                f"SPREAD OVER {d(2)} {self.pick('DRAWERS', 'CLERKS', 'AXES', 'TWINS', 'SHELVES')}, {self.pick('GIVEN', 'WHILE', 'QUIET', 'ALTHOUGH', 'BEFORE')} THAT {self.pick('TIES', 'CLERKS', 'GUESTS')} GO TO THE LOWER SHELF.",
+                f"Spread Over {d(2)} {self.pick('Drawers', 'Clerks', 'Axes')}, {self.pick('Given', 'While', 'Quiet')} That Ties Go Lower, Before Noon.",
+                f"守夜人清点，{d(5)}{self.pick('段哨', '张折页', '方印', '匹布', '项目', '支笔', '金币', '石板', '包茶')}，{self.pick('平手归低层', '任选一层', '时限已过')}。",
+                "石桥边的水位，方案未定，高度不明，何时开启，于事无补，全部清点。",
                 f"第{d(3)}号单元，每次查询耗时{d(2)}毫秒，因为种子变了。",
                 "距离内核，没有返回结果，尽管设了中心。钟表匠点数，任何单元都于事无补。",
                 f"settled at recall 0.{d(4)} and looked at dot products.",
@@ -228,6 +236,8 @@ class Maker:
             [title, *n, " disagreed with it."],
             ["According to ", *n, ", the cell is hot."],
             ["Sent by ", *n, "\n", *a()],
+            ["Sent by ", *n, "\n", *a(), "\n", *p()],
+            ["Contact : ", *e(), ", ", *p()],
             ["Questions to ", *e(), "."],
             ["Fragen an ", *n, " oder ", *p(), "."],
             [title, *n, " hat neu gezählt."],
