@@ -209,6 +209,16 @@ def test_one_cluster_and_copies_hold_most_rows(spark):
     assert members(grid.cluster(items(spark, rows), 2.5, DIM, settings=SPLIT)) == linked(*usable(rows))
 
 
+@pytest.mark.parametrize("cell_rows", [20, 45])
+def test_crowded_units_lose_nothing(spark, cell_rows):
+    """Everything in one cell: a large cluster with small ones and loners beside it, by either way of the second pass."""
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(size=(120, DIM)) * 0.2, *(r.normal(size=DIM) * 0.6 + r.normal(size=(5, DIM)) * 0.05 for _ in range(6)), r.normal(size=(30, DIM)) * 0.9]) + 1
+    rows = [(int(i) + 1, v.tolist()) for i, v in enumerate(x[r.permutation(len(x))])]
+    s = grid.Settings(width=1e6, grids=1, cell_rows=cell_rows, pivots=4)
+    assert members(grid.cluster(items(spark, rows), 2.5, DIM, settings=s)) == linked(*usable(rows))
+
+
 def test_long_chain(spark):
     step = np.zeros(DIM)
     step[0] = 2.4
