@@ -1,0 +1,190 @@
+"""Exact search within a radius by boxes along principal directions: a router to shards, and a tree in each shard.
+
+Vectors are turned into the principal directions, which changes no distance. The distance of a query from a
+box in some or all of them is at most its distance from any row in the box, so a box farther than the
+bound holds no answer, and nothing within the bound is lost.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from quiverlake.functions.vectors import squared_distances
+from quiverlake.llm.vptree import ROUND
+
+
+def principal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centre and all principal directions, the widest first."""
+    dim = x.shape[1]
+    cov = np.cov(x.T) if len(x) > 1 else np.eye(dim)
+    return x.mean(0) if len(x) else np.zeros(dim), np.linalg.eigh(np.atleast_2d(cov))[1][:, ::-1]
+
+
+class BoxRouter:
+    """Half-spaces along the widest directions, fitted on a bounded sample; the leaves are the shards."""
+
+    def __init__(self, sample: np.ndarray, shards: int, directions: int = 12):
+        self.nodes: list[tuple] = []  # (direction, cut, inner, outer) or (shard,)
+        self.weights: list[int] = []  # sample rows by shard
+        sample = sample.astype(np.float64)
+        self.centre, turn = principal(sample)
+        self.turn = turn[:, :directions]
+
+        def build(p: np.ndarray, n: int) -> int:
+            at = len(self.nodes)
+            self.nodes.append(())
+            if n > 1 and len(p) >= 4:
+                j = int(np.argmax(p.std(0)))
+                cut = float(np.quantile(p[:, j], (n // 2) / n))
+                inner = p[:, j] <= cut
+                if 0 < inner.sum() < len(p):
+                    self.nodes[at] = (j, cut, build(p[inner], n // 2), build(p[~inner], n - n // 2))
+                    return at
+            self.nodes[at] = (len(self.weights),)
+            self.weights.append(len(p))
+            return at
+
+        build((sample - self.centre) @ self.turn, max(1, shards))
+
+    @property
+    def shards(self) -> int:
+        return len(self.weights)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The shard of each row."""
+        p = (x - self.centre) @ self.turn
+        at = np.zeros(len(x), np.int32)
+        stack = [(0, np.arange(len(x)))]
+        while stack:
+            node, active = stack.pop()
+            if len(self.nodes[node]) == 1:
+                at[active] = self.nodes[node][0]
+                continue
+            j, cut, inner, outer = self.nodes[node]
+            left = p[active, j] <= cut
+            stack += [(inner, active[left]), (outer, active[~left])]
+        return at
+
+    def route(self, x: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, shard) pairs: all shards whose box comes within ``width`` of the row."""
+        p = (x - self.centre) @ self.turn
+        most = (width * (1 + ROUND) + ROUND) ** 2
+        rows, shards = [], []
+        stack = [(0, np.arange(len(x)), np.zeros_like(p))]
+        while stack:
+            at, active, gap = stack.pop()
+            if not len(active):
+                continue
+            if len(self.nodes[at]) == 1:
+                rows.append(active)
+                shards.append(np.full(len(active), self.nodes[at][0], np.int32))
+                continue
+            j, cut, inner, outer = self.nodes[at]
+            d = p[active, j] - cut
+            for child, across in ((inner, d), (outer, -d)):
+                far = gap.copy()
+                far[:, j] = np.maximum(far[:, j], across)
+                keep = np.einsum("ij,ij->i", far, far) <= most[active]
+                stack.append((child, active[keep], far[keep]))
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.concatenate(rows), np.concatenate(shards)
+
+
+class BoxTree:
+    """The tree of one shard over rows ``x`` with ids: halves along the widest direction, each with its bounding box."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = 128):
+        x = x.astype(np.float64, copy=False)
+        self.nodes: list[tuple] = []  # (low, high, inner, outer) or (low, high, begin, end, None)
+        self.centre, self.turn = principal(x[:: max(1, len(x) // 20_000)])
+        p = (x - self.centre) @ self.turn
+        order: list[np.ndarray] = []
+        filled = 0
+
+        def build(rows: np.ndarray) -> int:
+            nonlocal filled
+            at = len(self.nodes)
+            self.nodes.append(())
+            q = p[rows]
+            low, high = q.min(0), q.max(0)
+            if len(rows) > leaf:
+                j = int(np.argmax(q.std(0)))
+                inner = q[:, j] <= np.median(q[:, j])
+                if 0 < inner.sum() < len(rows):
+                    self.nodes[at] = (low, high, build(rows[inner]), build(rows[~inner]))
+                    return at
+            order.append(rows)
+            self.nodes[at] = (low, high, filled, filled + len(rows), None)
+            filled += len(rows)
+            return at
+
+        if len(x):
+            build(np.arange(len(x)))
+        rows = np.concatenate(order) if order else np.zeros(0, np.int64)
+        self.x, self.ids, self.p = np.ascontiguousarray(x[rows]), ids[rows], p[rows]
+        self.norms = np.einsum("ij,ij->i", self.p, self.p)
+
+    def knn(self, q: np.ndarray, q_ids: np.ndarray, k: int, bound: np.ndarray, block: int = 16384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, squared distance) of the at most ``k`` nearest rows within each query's ``bound`` (a squared distance, inclusive); never the query's own id; ties by the smaller id."""
+        parts = [self._knn(q[i : i + block], q_ids[i : i + block], k, bound[i : i + block], i) for i in range(0, len(q), block) if self.nodes]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(p) for p in zip(*parts))
+
+    def _knn(self, q: np.ndarray, q_ids: np.ndarray, k: int, bound: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q = q.astype(np.float64, copy=False)
+        p = (q - self.centre) @ self.turn
+        size = np.einsum("ij,ij->i", p, p) + self.norms.max()
+        single = bool((1e-5 * size < 0.01 * bound).all())  # else single precision would be too coarse
+        slack = (1e-5 if single else ROUND) * (1 + size)  # more than the rounding of a squared distance below
+        kind = np.float32 if single else np.float64
+        p, base, norms = p.astype(kind), self.p.astype(kind), self.norms.astype(kind)
+        nodes = [(n[0].astype(kind), n[1].astype(kind), *n[2:]) for n in self.nodes]
+        best = np.full((len(q), k), np.inf)  # squared distances found so far
+        limit = bound.astype(np.float64).copy()  # what a row must reach to count
+        rows, at, about = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        stack = [(0, np.arange(len(q)))]
+        while stack:
+            node, active = stack.pop()
+            n = nodes[node]
+            for part in (slice(0, 8), slice(8, None)):  # most fail in the widest directions already
+                away = p[active, part]
+                away = np.maximum(away - n[1][part], n[0][part] - away)
+                np.maximum(away, 0, out=away)
+                gap = np.einsum("ij,ij->i", away, away) if part.start == 0 else gap + np.einsum("ij,ij->i", away, away)
+                keep = gap <= limit[active] + 2 * slack[active]
+                active, gap = active[keep], gap[keep]
+                if not len(active) or len(n) == 4:
+                    break
+            if not len(active):
+                continue
+            if len(n) == 4:
+                stack += [(n[2], active), (n[3], active)]
+                continue
+            d = squared_distances(p[active], base[n[2] : n[3]], norms[n[2] : n[3]])
+            some = (d <= (limit[active] + 2 * slack[active]).astype(kind)[:, None]).any(1)
+            if not some.any():
+                continue
+            active, d = active[some], d[some].astype(np.float64)
+            d[q_ids[active][:, None] == self.ids[None, n[2] : n[3]]] = np.inf
+            best[active] = np.partition(np.concatenate([best[active], d], 1), k - 1, 1)[:, :k]
+            limit[active] = np.minimum(limit[active], best[active].max(1))
+            r, c = np.nonzero(d <= (limit[active] + 2 * slack[active])[:, None])
+            rows.append(active[r])
+            at.append(n[2] + c)
+            about.append(d[r, c])
+        rows, at, about = np.concatenate(rows), np.concatenate(at), np.concatenate(about)
+        near = about <= limit[rows] + 2 * slack[rows]
+        rows, at = rows[near], at[near]
+        exact = np.empty(len(rows))
+        for i in range(0, len(rows), 65536):  # distances again, term by term
+            diff = q[rows[i : i + 65536]] - self.x[at[i : i + 65536]]
+            exact[i : i + 65536] = np.einsum("ij,ij->i", diff, diff)
+        near = exact <= bound[rows]
+        rows, ids, exact = rows[near], self.ids[at[near]], exact[near]
+        order = np.lexsort((ids, exact, rows))
+        rows, ids, exact = rows[order], ids[order], exact[order]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1]) if len(rows) else np.zeros(0, np.int64)
+        take = np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows)))) < k
+        return rows[take] + first, ids[take], exact[take]

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quiverlake.llm import grid, neighbours, sample
+from quiverlake.llm import grid, neighbours, queries, sample
+from quiverlake.llm.boxes import BoxRouter, BoxTree
 from quiverlake.llm.vptree import Router, VpTree
 from quiverlake.session import table
 
@@ -131,6 +132,33 @@ def test_mutual_pairs_of_the_table(spark, real):
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
 
 
+def test_registered_pairs_keep_far_neighbours(spark, tmp_path):
+    """Pairs up to the whole radius of 2.5 apart are found, in several leaves and among vectors that resemble no cluster."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, DIM)) * 2
+    step = r.normal(size=x.shape)
+    y = x + step / np.linalg.norm(step, axis=1)[:, None] * r.uniform(1.5, 2.49, len(x))[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]).astype(np.float32))]
+    items(spark, rows).write.parquet(str(tmp_path / "vec_items.parquet"))
+    got = {tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()}
+    assert got == {(i, i + 3000) for i in range(3000)}
+
+
+@pytest.mark.parametrize("scale", [0.3, 1.0, 1e4])
+def test_boxes_alone(scale):
+    """Search and routing by boxes against brute force: near copies, crowds of more than k, and coarse values."""
+    r = np.random.default_rng(1)
+    x = (np.concatenate([r.normal(size=(500, 12)) * 2, r.normal(size=(200, 12)) * 0.3]) * scale).astype(np.float32)
+    ids, radius = np.arange(700), 2.5 * scale
+    rows, found, _ = BoxTree(x, ids, leaf=10).knn(x, ids, 5, np.full(700, radius**2), block=64)
+    want = brute(ids, x.astype(float), 5, radius)
+    assert [found[rows == i].tolist() for i in ids] == [want[i] for i in ids]
+    router = BoxRouter(x[::3], 16)
+    home = router.home(x.astype(float))
+    sent = set(zip(*(a.tolist() for a in router.route(x.astype(float), np.full(700, radius)))))
+    assert router.shards == 16 and {(i, home[j]) for i in ids for j in want[i]} <= sent and {(i, home[i]) for i in ids} <= sent
+
+
 def test_many_copies_of_one_vector(spark):
     """A third of the rows are one vector: neighbours are still exact, ties by the smaller index."""
     base = make(2, clusters=2, loners=40)
