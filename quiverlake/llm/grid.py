@@ -58,7 +58,7 @@ class Quantiser:
         values, vectors = np.linalg.eigh(np.atleast_2d(cov))
         m = s.directions + max(0, int(np.ceil(np.log2(max(n, 1) / s.rows_for_directions))))
         self.m = min(m, dim)
-        self.turn = vectors[:, ::-1][:, : min(2 * self.m, dim)]  # the second half splits crowded cells
+        self.turn = vectors[:, ::-1][:, : self.m]
         rng = np.random.default_rng(s.seed)
         order = np.stack([rng.permutation(s.grids) for _ in range(self.turn.shape[1])], 1)
         self.shift = (order + rng.random(order.shape[1])) * s.width / s.grids
@@ -77,9 +77,9 @@ class Quantiser:
     def project(self, x: np.ndarray) -> np.ndarray:
         return (x - self.centre) @ self.turn
 
-    def cells(self, p: np.ndarray, first: int, last: int) -> np.ndarray:
-        """(rows, grids) names of the cells over directions ``first`` to ``last``."""
-        out = [self._mix(np.floor((p[:, first:last] + self.shift[g, first:last]) / self.s.width), g + 1) for g in range(self.s.grids)]
+    def cells(self, p: np.ndarray) -> np.ndarray:
+        """(rows, grids) names of the cells."""
+        out = [self._mix(np.floor((p + self.shift[g]) / self.s.width), g + 1) for g in range(self.s.grids)]
         return np.stack(out, 1) if out else np.zeros((len(p), 0), np.int64)
 
     def fine(self, p: np.ndarray) -> np.ndarray:
@@ -192,7 +192,7 @@ def propagate(edges: DataFrame) -> DataFrame:
 
 
 def quantise(items: DataFrame, dim: int, s: Settings, index: str = "vec_index", vector: str = "v") -> tuple[DataFrame, int]:
-    """The written table ``(id, v, cells, sub, fine, p, copy_of)`` of the usable items, and how many rows it has.
+    """The written table ``(id, v, cells, fine, p, copy_of)`` of the usable items, and how many rows it has.
 
     Of equal vectors in one Arrow batch only the first goes on; the others name it in ``copy_of``.
     """
@@ -215,47 +215,34 @@ def quantise(items: DataFrame, dim: int, s: Settings, index: str = "vec_index",
             p = q.project(x.astype(np.float64))
             main = ~again
             keep = np.flatnonzero(main | copy)
-            cells, sub = q.cells(p, 0, q.m), q.cells(p, q.m, q.turn.shape[1])
+            cells = q.cells(p)
             copies = pa.array([None if main[i] else int(first_id[i]) for i in keep], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), lists(x[keep]), lists(cells[keep], pa.int64()), lists(sub[keep], pa.int64()), pa.array(q.fine(p)[keep]), lists(p[keep, : q.m].astype(np.float32)), copies], ["id", "v", "cells", "sub", "fine", "p", "copy_of"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), lists(x[keep]), lists(cells[keep], pa.int64()), pa.array(q.fine(p)[keep]), lists(p[keep].astype(np.float32)), copies], ["id", "v", "cells", "fine", "p", "copy_of"])
 
-    kinds = "id bigint, v array<float>, cells array<bigint>, sub array<bigint>, fine bigint, p array<float>, copy_of bigint"
+    kinds = "id bigint, v array<float>, cells array<bigint>, fine bigint, p array<float>, copy_of bigint"
     return cut(fit.mapInArrow(run, kinds), "cells"), n
 
 
 def link(cells: DataFrame, n: int, dim: int, radius: float, s: Settings) -> DataFrame:
     """Edges ``(id, root)`` of all cells of all grids.
 
-    A cell with more than ``cell_rows`` rows is first divided by its further directions, and a part that is still
-    so large by ``_link_crowded``.
+    A cell with more than ``cell_rows`` rows goes to ``_link_crowded`` as a whole, so its links are exact as well.
     """
     spark = cells.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * s.grids // 300_000))
     main = cells.where("copy_of IS NULL")
-    each = main.select("id", "v", "sub", F.posexplode("cells").alias("grid", "cell"))
+    each = main.select("id", "v", F.explode("cells").alias("unit"))
     edges = main.sparkSession.createDataFrame([], "id bigint, root bigint")
     edges = edges.unionByName(cells.where("copy_of IS NOT NULL").select("id", F.col("copy_of").alias("root")))
-    crowded = main.select(F.explode("cells").alias("cell")).groupBy("cell").count().where(F.col("count") > s.cell_rows)
-    crowded = cut(crowded.select("cell", F.lit(True).alias("full")), "crowded")
+    crowded = main.select(F.explode("cells").alias("unit")).groupBy("unit").count().where(F.col("count") > s.cell_rows)
+    crowded = cut(crowded.select("unit", F.ceil(F.col("count") / s.cell_rows).cast("int").alias("pieces")), "crowded")
     n_crowded = crowded.count()
     if not n_crowded:
-        units = each.select(F.col("cell").alias("unit"), "id", "v")
-        return edges.unionByName(_link_units(units, dim, radius, parts))
-    small = (lambda d, k: F.broadcast(d) if k <= 100_000 else d)
-    each = each.join(small(crowded, n_crowded), "cell", "left")
-    open_cells = each.where("full IS NULL").select(F.col("cell").alias("unit"), "id", "v")
-    rest = each.where("full").select(F.xxhash64("cell", F.get("sub", F.col("grid"))).alias("unit"), "id", "v", "grid")
-    edges = edges.unionByName(_link_units(open_cells, dim, radius, parts))
-    rest = cut(rest, "rest")
-    sizes = cut(rest.groupBy("unit").count().select("unit", F.ceil(F.col("count") / s.cell_rows).cast("int").alias("pieces")), "sizes")
-    full = sizes.where("pieces > 1")
-    n_full = full.count()
-    rest = rest.join(small(full, n_full), "unit", "left")
-    whole = rest.where("pieces IS NULL").select("unit", "id", "v")
-    edges = edges.unionByName(_link_units(whole, dim, radius, parts))
-    if not n_full:
-        return edges
-    return edges.unionByName(_link_crowded(rest.where("pieces IS NOT NULL").select("unit", "id", "v", "pieces"), dim, radius, parts, s))
+        return edges.unionByName(_link_units(each, dim, radius, parts))
+    each = each.join(F.broadcast(crowded) if n_crowded <= 100_000 else crowded, "unit", "left")
+    edges = edges.unionByName(_link_units(each.where("pieces IS NULL"), dim, radius, parts))
+    rest = cut(each.where("pieces IS NOT NULL"), "rest")
+    return edges.unionByName(_link_crowded(rest.select("unit", "id", "v", "pieces"), dim, radius, parts, s))
 
 
 def _link_crowded(split: DataFrame, dim: int, radius: float, parts: int, s: Settings) -> DataFrame:

@@ -247,6 +247,18 @@ def test_crowded_units_lose_nothing(spark, cell_rows):
     assert members(grid.cluster(items(spark, rows), 2.5, DIM, settings=s)) == linked(*usable(rows))
 
 
+def test_crowded_cells_link_across_further_directions(spark):
+    """Chains of long links: whether cells count as crowded makes no difference to the result."""
+    r = np.random.default_rng(3)
+    step = r.normal(size=(300, 5, 4))
+    step *= 2.45 / np.linalg.norm(step, axis=2, keepdims=True)
+    x = (r.uniform(-30, 30, size=(300, 1, 4)) + step.cumsum(1)).reshape(-1, 4)
+    ids = r.permutation(len(x)) + 1
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_index bigint, v array<float>")
+    crowded, whole = (members(grid.cluster(df, 2.5, 4, settings=grid.Settings(width=4.5, directions=2, cell_rows=n, pivots=2))) for n in (6, 10**6))
+    assert len(whole) > 1200 and crowded == whole
+
+
 def test_long_chain(spark):
     step = np.zeros(DIM)
     step[0] = 2.4
