@@ -136,6 +136,21 @@ def test_graph_and_beam(spark, cloud):
     assert graph.levels(p).where("level < 0").count() == 0
 
 
+def test_walk_reaches_every_component(spark):
+    """Rows of a part of the graph without an entry, and the far end of a long chain, are found."""
+    r = np.random.default_rng(4)
+    parts = np.concatenate([r.normal(size=(40, 3)), r.normal(size=(40, 3)) + 50])
+    p = frame(spark, parts.tolist())
+    edges = cut(graph.symmetric(graph.knn_graph(p, 4)))
+    q = asked(p.where("vec_id >= 75"))
+    out = graph.beam_search(edges, p, q, p.where("vec_id = 3").select("vec_id"), 5)
+    assert recall.recall_summary(recall.recall_per_query(out, knn.knn_join(q, p, 5), 5)).head()["min_recall"] > 0.7
+    chain = frame(spark, [[float(i), 0.0] for i in range(35)])
+    edges = cut(graph.symmetric(graph.knn_graph(chain, 1)).unionByName(spark.createDataFrame([(i + a, i + 1 - a, 1.0) for i in range(34) for a in (0, 1)], "src bigint, dst bigint, dist_sq double")).distinct())
+    out = graph.beam_search(edges, chain, asked(chain.where("vec_id = 34")), chain.where("vec_id = 0").select("vec_id"), 1, ef=2)
+    assert [x["vec_id"] for x in out.collect()] == [34]
+
+
 def test_recall_counts(spark):
     truth = spark.createDataFrame([(1, i, i) for i in range(1, 6)], "query_id int, vec_id int, rank int")
     found = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (1, 9, 3)], "query_id int, vec_id int, rank int")
