@@ -32,11 +32,12 @@ class Settings:
 
     A pair at distance d differs by about d/7 in a direction of 48; at width 4.5 in 10 directions a grid
     divides it with odds of 1/4 at d = 1, so five grids all divide it with odds below 1e-3, and a member of a
-    cluster has several links. More rows take more directions, so that cells stay small.
+    cluster has several links. At d = 2 they are 0.5 %, at 2.5 1.3 % (moved copies, the largest table). More rows
+    take more directions, so that cells stay small, and as many more grids, so that the odds don't grow.
     """
 
     width: float = 4.5
-    grids: int = 5
+    grids: int = 5  # one more for each added direction
     directions: int = 10  # at up to rows_for_directions rows; one more for each doubling
     rows_for_directions: int = 400_000
     sample_rows: int = 20_000
@@ -46,6 +47,11 @@ class Settings:
     fine_directions: int = 6
     seed: int = 11
 
+    def shape(self, n: int, dim: int) -> tuple[int, int]:
+        """Directions and grids for ``n`` rows."""
+        m = min(self.directions + max(0, int(np.ceil(np.log2(max(n, 1) / self.rows_for_directions)))), dim)
+        return m, self.grids + max(0, m - self.directions)
+
 
 class Quantiser:
     """Principal directions and shifts."""
@@ -56,12 +62,11 @@ class Quantiser:
         self.centre = x.mean(0) if len(x) else np.zeros(dim)
         cov = np.cov(x.T) if len(x) > 1 else np.eye(dim)
         values, vectors = np.linalg.eigh(np.atleast_2d(cov))
-        m = s.directions + max(0, int(np.ceil(np.log2(max(n, 1) / s.rows_for_directions))))
-        self.m = min(m, dim)
+        self.m, self.grids = s.shape(n, dim)
         self.turn = vectors[:, ::-1][:, : self.m]
         rng = np.random.default_rng(s.seed)
-        order = np.stack([rng.permutation(s.grids) for _ in range(self.turn.shape[1])], 1)
-        self.shift = (order + rng.random(order.shape[1])) * s.width / s.grids
+        order = np.stack([rng.permutation(self.grids) for _ in range(self.turn.shape[1])], 1)
+        self.shift = (order + rng.random(order.shape[1])) * s.width / self.grids
         self.s = s
 
     @staticmethod
@@ -79,7 +84,7 @@ class Quantiser:
 
     def cells(self, p: np.ndarray) -> np.ndarray:
         """(rows, grids) names of the cells."""
-        out = [self._mix(np.floor((p + self.shift[g]) / self.s.width), g + 1) for g in range(self.s.grids)]
+        out = [self._mix(np.floor((p + self.shift[g]) / self.s.width), g + 1) for g in range(self.grids)]
         return np.stack(out, 1) if out else np.zeros((len(p), 0), np.int64)
 
     def fine(self, p: np.ndarray) -> np.ndarray:
@@ -229,7 +234,7 @@ def link(cells: DataFrame, n: int, dim: int, radius: float, s: Settings) -> Data
     A cell with more than ``cell_rows`` rows goes to ``_link_crowded`` as a whole, so its links are exact as well.
     """
     spark = cells.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * s.grids // 300_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * s.shape(n, dim)[1] // 300_000))
     main = cells.where("copy_of IS NULL")
     each = main.select("id", "v", F.explode("cells").alias("unit"))
     edges = main.sparkSession.createDataFrame([], "id bigint, root bigint")

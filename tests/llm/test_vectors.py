@@ -259,6 +259,21 @@ def test_crowded_cells_link_across_further_directions(spark):
     assert len(whole) > 1200 and crowded == whole
 
 
+def test_more_rows_miss_no_more_links():
+    """The odds that all grids divide a link stay the same or fall as directions are added."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(20_000, DIM)) * np.linspace(3.3, 1.0, DIM)
+    step = r.normal(size=x.shape)
+    y = x + step / np.linalg.norm(step, axis=1)[:, None] * 2.45
+
+    def missed(n):
+        q = grid.Quantiser(x, n, grid.Settings())
+        a, b = (np.stack([np.floor((q.project(v)[:, : q.m] + shift[: q.m]) / q.s.width) for shift in q.shift]) for v in (x, y))
+        return (a != b).any(2).all(0).mean()
+
+    assert missed(400_000) < 0.02 and missed(4_000_000) <= missed(400_000) and missed(50_000_000) <= missed(400_000)
+
+
 def test_long_chain(spark):
     step = np.zeros(DIM)
     step[0] = 2.4
