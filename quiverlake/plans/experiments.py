@@ -142,7 +142,7 @@ def cold_start(spark: SparkSession, d: str) -> DataFrame:
 
 def _surrogates(spark: SparkSession, d: str):
     r = good(spark, d)
-    return models.boosting(r, "avg_query_time_ms", trees=20), models.boosting(r, "recall", trees=20)
+    return models.boosting(r, "avg_query_time_ms"), models.boosting(r, "recall")
 
 
 def surrogate_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +161,7 @@ def poly_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gbt_fit(spark: SparkSession, d: str) -> DataFrame:
-    rows = models.compare(good(spark, d), "recall", trees=20)
+    rows = models.compare(good(spark, d), "recall")
     return spark.createDataFrame([(x["model"], x["n"], x["rmse"], x["r2"]) for x in rows], "model string, n bigint, rmse double, r2 double")
 
 

@@ -1,3 +1,4 @@
+import inspect
 import math
 
 import numpy as np
@@ -129,3 +130,22 @@ def test_analytic_models_give_numbers(measured):
     r = dict(alpha=8.0, beta=0.2, beta_d=0.35, phi=0.01, theta=0.65, psi=1.0, z0=0.1, z1=0.1, w1=0.1, nu=0.55, w2=1.0)
     got = measured.select(models.analytic_time(p, 10**6, 128).alias("t"), models.analytic_recall(r, 10**6, 128).alias("r"))
     assert got.where("t > 0 AND r BETWEEN 0 AND 1").count() == measured.count()
+
+
+def test_registered_trees(spark, data, monkeypatch):
+    """The named queries fit as many trees as the reference, 100."""
+    from quiverlake.plans import experiments
+
+    fitted, boosting = [], models.boosting
+
+    def few(*args, **kw):
+        bound = inspect.signature(boosting).bind(*args, **kw)
+        bound.apply_defaults()
+        fitted.append(bound.arguments["trees"])
+        bound.arguments["trees"] = 1
+        return boosting(*bound.args, **bound.kwargs)
+
+    monkeypatch.setattr(models, "boosting", few)
+    experiments.gbt_fit(spark, data)
+    experiments.surrogate_grid(spark, data)
+    assert fitted == [100, 100, 100]
