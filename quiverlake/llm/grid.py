@@ -1,15 +1,15 @@
-"""Similarity clusters by grid density: quantise, count cells, link in dense cells, propagate minimum labels.
-
-Vectors are turned into the leading principal directions (fitted on a bounded sample), in which unrelated
-vectors differ most, and quantised there by several grids of the same cell width, each shifted. Items at
-most ``radius`` apart share a cell of a grid unless a border falls between them in one of its directions;
-the shifts put the borders elsewhere in the next grid, so adjacent cells of one grid are joined through the
-cell of another that covers their border. Cells that hold a single item have no links. In every other cell
-the links are found exactly, and each of its components is named by its smallest index. An item's names in
-different grids join the components; the minimum is propagated over them until nothing changes.
-
-The projection shortens distances, it never lengthens them, and a link must cross a border in every grid
-to be missed: see ``Settings`` for the odds.
+"""Similarity clusters by grid density: quantise, count cells, join adjacent cells, propagate minimum labels.
+
+Vectors are turned into their principal directions, which changes no distance. A grid of equally filled cells
+quantises them: the rows are halved along the direction in which they spread most, again and again, until a
+cell has about ``cell_rows`` rows. (Cells of one fixed width don't work here: at a width of the radius or more
+a few directions put half of all rows into adjacent cells, and many directions give each row hundreds of them.)
+Every row belongs to one cell. It is a guest in each adjacent cell of a smaller number whose box lies within
+the radius of the row. Two linked rows of different cells are so both in the one of the smaller number: no link
+is lost, whatever the number of rows, cells or directions. Cells are counted first; those of a single row, guests
+included, have no links and are dropped. In every other cell the links are found exactly, and each of its
+components is named by its smallest index. An item's names in different cells join the components; the minimum
+is propagated over them until nothing changes.
 """
 
 from __future__ import annotations
@@ -25,114 +25,201 @@ from pyspark.sql import functions as F
 from quiverlake.functions.vectors import lists, matrix, squared_distances, usable
 from quiverlake.session import cut, drop_cut
 
+SLACK = 1e-9  # relative; more than the rounding of a turned coordinate
+
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the sample for the directions; counts, cells and links cover all rows.
-
-    A pair at distance d differs by about d/7 in a direction of 48; at width 4.5 in 10 directions a grid
-    divides it with odds of 1/4 at d = 1, so five grids all divide it with odds below 1e-3, and a member of a
-    cluster has several links. At d = 2 they are 0.5 %, at 2.5 1.3 % (moved copies, the largest table). More rows
-    take more directions, so that cells stay small, and as many more grids, so that the odds don't grow.
-    """
+    """The grid's directions and borders are fitted on a sample of about ``sample_rows`` rows, at least
+    ``rows_a_cell`` a cell; counts, cells and links cover all rows. None of the figures changes the result."""
 
-    width: float = 4.5
-    grids: int = 5  # one more for each added direction
-    directions: int = 10  # at up to rows_for_directions rows; one more for each doubling
-    rows_for_directions: int = 400_000
+    cell_rows: int = 48_000
     sample_rows: int = 20_000
-    cell_rows: int = 20_000  # a cell with more rows is split
+    rows_a_cell: int = 16
+    directions: int = 16  # that borders may cut
+    most_rows: int = 250_000  # a cell with more rows, guests included, is split
+    piece_rows: int = 60_000  # rows of a part of it
     pivots: int = 256  # rows of a split cell that go to all its parts
+    leaf: int = 256  # rows of a block within a cell
     fine_width: float = 0.6  # cells for the most typical members
     fine_directions: int = 6
     seed: int = 11
 
-    def shape(self, n: int, dim: int) -> tuple[int, int]:
-        """Directions and grids for ``n`` rows."""
-        m = min(self.directions + max(0, int(np.ceil(np.log2(max(n, 1) / self.rows_for_directions)))), dim)
-        return m, self.grids + max(0, m - self.directions)
+
+def principal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centre and all principal directions, the widest first."""
+    dim = x.shape[1]
+    cov = np.cov(x.T) if len(x) > 1 else np.eye(dim)
+    return x.mean(0) if len(x) else np.zeros(dim), np.linalg.eigh(np.atleast_2d(cov))[1][:, ::-1]
 
 
 class Quantiser:
-    """Principal directions and shifts."""
+    """Principal directions and the borders of the cells."""
 
     def __init__(self, sample: np.ndarray, n: int, s: Settings):
-        x = sample.astype(np.float64)
-        dim = x.shape[1]
-        self.centre = x.mean(0) if len(x) else np.zeros(dim)
-        cov = np.cov(x.T) if len(x) > 1 else np.eye(dim)
-        values, vectors = np.linalg.eigh(np.atleast_2d(cov))
-        self.m, self.grids = s.shape(n, dim)
-        self.turn = vectors[:, ::-1][:, : self.m]
-        rng = np.random.default_rng(s.seed)
-        order = np.stack([rng.permutation(self.grids) for _ in range(self.turn.shape[1])], 1)
-        self.shift = (order + rng.random(order.shape[1])) * s.width / self.grids
+        sample = sample.astype(np.float64)
         self.s = s
-
-    @staticmethod
-    def _mix(cells: np.ndarray, start: int) -> np.ndarray:
-        """A 64-bit name for each row of cell numbers."""
-        h = np.full(len(cells), start, np.uint64)
-        with np.errstate(over="ignore"):
-            for c in cells.T.astype(np.int64).view(np.uint64):
-                h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-        return h.view(np.int64)
+        self.centre, turn = principal(sample)
+        self.turn = turn[:, : s.directions]
+        self.nodes: list[tuple] = []  # (direction, border, lower, upper) or (cell,)
+        self.cells = 0
+
+        def halve(p: np.ndarray, parts: int) -> int:
+            at = len(self.nodes)
+            self.nodes.append(())
+            if parts > 1 and len(p) >= 4:
+                j = int(np.argmax(p.std(0)))
+                border = float(np.quantile(p[:, j], (parts // 2) / parts))
+                lower = p[:, j] <= border
+                if 0 < lower.sum() < len(p):
+                    self.nodes[at] = (j, border, halve(p[lower], parts // 2), halve(p[~lower], parts - parts // 2))
+                    return at
+            self.nodes[at] = (self.cells,)
+            self.cells += 1
+            return at
+
+        halve((sample - self.centre) @ self.turn, max(1, -(-n // s.cell_rows)))
 
     def project(self, x: np.ndarray) -> np.ndarray:
         return (x - self.centre) @ self.turn
 
-    def cells(self, p: np.ndarray) -> np.ndarray:
-        """(rows, grids) names of the cells."""
-        out = [self._mix(np.floor((p + self.shift[g]) / self.s.width), g + 1) for g in range(self.grids)]
-        return np.stack(out, 1) if out else np.zeros((len(p), 0), np.int64)
+    def place(self, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(home, rows, cells)``: each row's cell, and the pairs of a row and a cell of a smaller number within ``radius`` of it."""
+        home = np.zeros(len(p), np.int64)
+        most = (radius + SLACK * (1 + radius + np.abs(p).max(1, initial=0.0))) ** 2
+        rows, cells = [], []
+        stack = [(0, np.arange(len(p)), np.zeros_like(p), np.ones(len(p), bool))]
+        while stack:
+            at, active, gap, own = stack.pop()
+            if not len(active):
+                continue
+            if len(self.nodes[at]) == 1:
+                home[active[own]] = self.nodes[at][0]
+                rows.append(active[~own])
+                cells.append(np.full(len(rows[-1]), self.nodes[at][0], np.int64))
+                continue
+            j, border, lower, upper = self.nodes[at]
+            d = p[active, j] - border
+            for child, across, side in ((lower, d, d <= 0), (upper, -d, d > 0)):
+                far = gap.copy()
+                far[:, j] = np.maximum(far[:, j], across)
+                keep = np.einsum("ij,ij->i", far, far) <= most[active]
+                mine = own & side
+                keep |= mine
+                stack.append((child, active[keep], far[keep], mine[keep]))
+        rows, cells = np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(cells or [np.zeros(0, np.int64)])
+        lower = cells < home[rows]
+        return home, rows[lower], cells[lower]
 
     def fine(self, p: np.ndarray) -> np.ndarray:
-        return self._mix(np.floor(p[:, : self.s.fine_directions] / self.s.fine_width), 0)
+        """A 64-bit name of each row's fine cell, of fixed width, for the most typical members."""
+        h = np.zeros(len(p), np.uint64)
+        with np.errstate(over="ignore"):
+            for c in np.floor(p[:, : self.s.fine_directions] / self.s.fine_width).T.astype(np.int64).view(np.uint64):
+                h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+        return h.view(np.int64)
+
 
+def components(x: np.ndarray, ids: np.ndarray, radius: float, leaf: int = 256) -> np.ndarray:
+    """For each row the smallest id of its component under links of at most ``radius``; exact.
 
-def components(x: np.ndarray, ids: np.ndarray, radius: float, block: int = 1024) -> np.ndarray:
-    """For each row the smallest id of its component under links of at most ``radius``; exact."""
+    The rows are halved into blocks with bounding boxes; a block meets only rows within the radius of its box,
+    and none that already belong to the one component of all its rows, so a crowd of like rows costs little.
+    """
     n, r2 = len(x), radius * radius
-    root = ids.copy()
-    norms = np.einsum("ij,ij->i", x, x)
-
-    def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        d = squared_distances(x[a], x[b], norms[b])
-        hit = d <= r2
-        if np.count_nonzero(d <= r2 + 1e-7) > np.count_nonzero(d <= r2 - 1e-7):  # some too close to call by products
-            for i, j in np.argwhere(np.abs(d - r2) <= 1e-7):
-                hit[i, j] = ((x[a[i]] - x[b[j]]) ** 2).sum() <= r2
-        return hit
-
-    # first the rows that may have a link at all, each pair once and in single precision, with room for its rounding
-    single, half = x.astype(np.float32), norms.astype(np.float32)
-    room = np.float32(r2 + 1e-3 + 1e-5 * (norms.max() if n else 0.0))
-    some = np.zeros(n, bool)
-    for i in range(0, n, block):
-        d = single[i : i + block] @ single[i:].T
-        d *= -2
-        d += half[i : i + block, None]
-        d += half[None, i:]
-        hit = d <= room
-        np.fill_diagonal(hit, False)
-        some[i : i + block] |= hit.any(1)
-        some[i:] |= hit.any(0)
-    left = np.flatnonzero(some)
-    while len(left):
-        members, front, left = [left[:1]], left[:1], left[1:]
-        while len(front) and len(left):
-            now, front = front[:block], front[block:]
-            hit = linked(now, left).any(0)
-            new, left = left[hit], left[~hit]
-            members.append(new)
-            front = np.concatenate([front, new])
-        rows = np.concatenate(members)
-        root[rows] = ids[rows].min()
-    return root
-
-
-def _link_units(units: DataFrame, dim: int, radius: float, parts: int) -> DataFrame:
+    if n < 2:
+        return ids.copy()
+    x = x.astype(np.float64, copy=False)
+    centre, turn = principal(x[:: max(1, n // 20_000)])
+    p = (x - centre) @ turn
+    blocks, todo = [], [np.arange(n)]
+    while todo:
+        rows = todo.pop()
+        if len(rows) > leaf:
+            q = p[rows]
+            j = int(np.argmax(q.std(0)))
+            lower = q[:, j] <= np.median(q[:, j])
+            if 0 < lower.sum() < len(rows):
+                todo += [rows[~lower], rows[lower]]
+                continue
+        blocks += [rows[i : i + leaf] for i in range(0, len(rows), leaf)]
+    order = np.concatenate(blocks)
+    p, raw = p[order], x[order]
+    ends = np.cumsum([len(b) for b in blocks])
+    starts = ends - [len(b) for b in blocks]
+    low = np.stack([p[a:b].min(0) for a, b in zip(starts, ends)])
+    high = np.stack([p[a:b].max(0) for a, b in zip(starts, ends)])
+    norms = np.einsum("ij,ij->i", p, p)
+    size = norms.max()
+    single = 2e-5 * (1 + size) < 0.01 * r2  # else single precision would be too coarse
+    slack = (2e-5 if single else SLACK) * (1 + size)
+    kind = np.float32 if single else np.float64
+    base = np.column_stack([p, np.ones(n), norms]).astype(kind)  # a squared distance is one product of rows with their norms
+    asks = np.column_stack([-2 * p, norms, np.ones(n)]).astype(kind)
+    first = min(8, p.shape[1])
+    parent = np.arange(n)
+
+    def root(of: np.ndarray) -> np.ndarray:
+        while True:
+            up = parent[of]
+            if np.array_equal(up, of):
+                return of
+            of = up
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        """Join the components of rows ``a[i]`` and ``b[i]``."""
+        while len(a):
+            a, b = root(a), root(b)
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            apart = a != b
+            a, b = a[apart], b[apart]
+            if len(a):
+                np.minimum.at(parent, b, a)
+
+    for i, (begin, end) in enumerate(zip(starts.tolist(), ends.tolist())):
+        gap = np.maximum(0, np.maximum(low[i:] - high[i], low[i] - high[i:]))
+        near = np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= r2 + slack) + i
+        rows = np.concatenate([np.arange(starts[k], ends[k]) for k in near])
+        away = np.zeros(len(rows))
+        for part in (slice(0, first), slice(first, None)):  # most fail in the widest directions already
+            g = np.maximum(0, np.maximum(p[rows, part] - high[i, part], low[i, part] - p[rows, part]))
+            away += np.einsum("ij,ij->i", g, g)
+            keep = away <= r2 + slack
+            rows, away = rows[keep], away[keep]
+        own = np.arange(begin, end)
+        for other in (own, rows[rows >= end]):
+            mine = root(own)
+            whole = bool((mine == mine[0]).all())
+            if whole:
+                other = other[root(other) != mine[0]]
+            for at in range(0, len(other), 8192):
+                some = other[at : at + 8192]
+                d = asks[begin:end] @ base[some].T
+                if other is own:
+                    np.fill_diagonal(d, np.inf)
+                hit = d <= r2 - slack
+                unsure = (d <= r2 + slack) & ~hit
+                if unsure.any():
+                    a, b = np.nonzero(unsure)
+                    hit[a, b] = ((raw[begin + a] - raw[some[b]]) ** 2).sum(1) <= r2
+                if whole:
+                    new = some[hit.any(0)]
+                    join(np.full(len(new), begin), new)
+                elif hit.any():
+                    a, b = np.nonzero(hit)
+                    pairs = np.unique(root(begin + a) * n + root(some[b]))
+                    join(pairs // n, pairs % n)
+    top = root(np.arange(n))
+    named = ids[order]
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, top, named)
+    out = np.empty(n, np.int64)
+    out[order] = least[top]
+    return out
+
+
+def _link_units(units: DataFrame, dim: int, radius: float, parts: int, leaf: int) -> DataFrame:
     """``(id, root)`` of the rows that have a link in their unit; a row twice in a unit counts once. Rows: ``unit, id, v``."""
 
     def of(unit: list[pa.Table]) -> pa.RecordBatch | None:
@@ -141,7 +228,7 @@ def _link_units(units: DataFrame, dim: int, radius: float, parts: int) -> DataFr
         if len(ids) < 2:
             root = ids
         else:
-            root = components(matrix(t.column("v"), dim)[first], ids, radius)
+            root = components(matrix(t.column("v"), dim)[first], ids, radius, leaf)
         keep = np.isin(root, root[root != ids])
         return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(root[keep])], ["id", "root"]) if keep.any() else None
 
@@ -196,15 +283,16 @@ def propagate(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def quantise(items: DataFrame, dim: int, s: Settings, index: str = "vec_index", vector: str = "v") -> tuple[DataFrame, int]:
+def quantise(items: DataFrame, dim: int, radius: float, s: Settings, index: str = "vec_index", vector: str = "v") -> tuple[DataFrame, int]:
     """The written table ``(id, v, cells, fine, p, copy_of)`` of the usable items, and how many rows it has.
 
-    Of equal vectors in one Arrow batch only the first goes on; the others name it in ``copy_of``.
+    ``cells`` holds an item's own cell first and then those where it is a guest. Of equal vectors in one Arrow
+    batch only the first goes on; the others name it in ``copy_of``.
     """
     fit = items.where(F.col(index).isNotNull() & usable(vector, dim)).select(F.col(index).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
     n = fit.count()
-    step = max(1, n // s.sample_rows)
-    sample = fit.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).limit(2 * s.sample_rows).toArrow().sort_by("id")
+    want = max(s.sample_rows, -(-n // s.cell_rows) * s.rows_a_cell)
+    sample = fit.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // want))) == 0).limit(2 * want).toArrow().sort_by("id")
     q = Quantiser(matrix(sample.column("v"), dim) if sample.num_rows else np.zeros((0, dim)), n, s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,43 +303,45 @@ def quantise(items: DataFrame, dim: int, s: Settings, index: str = "vec_index",
             _, first, group = np.unique(rows.view(np.dtype((np.void, 4 * dim))).ravel(), return_index=True, return_inverse=True)
             first_id = ids[first][group]
             copy = first_id != ids
-            again = np.ones(len(ids), bool)
-            again[first] = False  # the same id again, or a copy
-            p = q.project(x.astype(np.float64))
-            main = ~again
+            main = np.zeros(len(ids), bool)
+            main[first] = True  # the others are the same id again, or a copy
             keep = np.flatnonzero(main | copy)
-            cells = q.cells(p)
+            p = q.project(x[keep].astype(np.float64))
+            home, guest, cell = q.place(p, radius)
+            at = np.concatenate([np.arange(len(keep)), guest])
+            by_row = np.argsort(at, kind="stable")
+            ends = np.cumsum(np.bincount(at, minlength=len(keep)))
+            cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.concatenate([home, cell])[by_row], pa.int64()))
             copies = pa.array([None if main[i] else int(first_id[i]) for i in keep], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), lists(x[keep]), lists(cells[keep], pa.int64()), pa.array(q.fine(p)[keep]), lists(p[keep].astype(np.float32)), copies], ["id", "v", "cells", "fine", "p", "copy_of"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), lists(x[keep]), cells, pa.array(q.fine(p)), lists(p.astype(np.float32)), copies], ["id", "v", "cells", "fine", "p", "copy_of"])
 
     kinds = "id bigint, v array<float>, cells array<bigint>, fine bigint, p array<float>, copy_of bigint"
     return cut(fit.mapInArrow(run, kinds), "cells"), n
 
 
-def link(cells: DataFrame, n: int, dim: int, radius: float, s: Settings) -> DataFrame:
-    """Edges ``(id, root)`` of all cells of all grids.
+def link(cells: DataFrame, dim: int, radius: float, s: Settings) -> DataFrame:
+    """Edges ``(id, root)`` of all cells.
 
-    A cell with more than ``cell_rows`` rows goes to ``_link_crowded`` as a whole, so its links are exact as well.
+    The cells are counted before any vector moves. A cell with more than ``most_rows`` rows, guests included,
+    goes to ``_link_crowded`` as a whole, so its links are exact as well.
     """
-    spark = cells.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * s.shape(n, dim)[1] // 300_000))
     main = cells.where("copy_of IS NULL")
+    counts = cut(main.select(F.explode("cells").alias("unit")).groupBy("unit").count().where("count > 1"), "counts")
+    rows, crowded = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum((F.col("count") > s.most_rows).cast("int")), F.lit(0))).head()
+    parts = max(int(main.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 300_000))
     each = main.select("id", "v", F.explode("cells").alias("unit"))
-    edges = main.sparkSession.createDataFrame([], "id bigint, root bigint")
-    edges = edges.unionByName(cells.where("copy_of IS NOT NULL").select("id", F.col("copy_of").alias("root")))
-    crowded = main.select(F.explode("cells").alias("unit")).groupBy("unit").count().where(F.col("count") > s.cell_rows)
-    crowded = cut(crowded.select("unit", F.ceil(F.col("count") / s.cell_rows).cast("int").alias("pieces")), "crowded")
-    n_crowded = crowded.count()
-    if not n_crowded:
-        return edges.unionByName(_link_units(each, dim, radius, parts))
-    each = each.join(F.broadcast(crowded) if n_crowded <= 100_000 else crowded, "unit", "left")
-    edges = edges.unionByName(_link_units(each.where("pieces IS NULL"), dim, radius, parts))
+    edges = cells.where("copy_of IS NOT NULL").select("id", F.col("copy_of").alias("root"))
+    pieces = counts.where(F.col("count") > s.most_rows).select("unit", F.ceil(F.col("count") / s.piece_rows).cast("int").alias("pieces"))
+    if not crowded:
+        return edges.unionByName(_link_units(each, dim, radius, parts, s.leaf))
+    each = each.join(F.broadcast(pieces) if crowded <= 100_000 else pieces, "unit", "left")
+    edges = edges.unionByName(_link_units(each.where("pieces IS NULL"), dim, radius, parts, s.leaf))
     rest = cut(each.where("pieces IS NOT NULL"), "rest")
     return edges.unionByName(_link_crowded(rest.select("unit", "id", "v", "pieces"), dim, radius, parts, s))
 
 
 def _link_crowded(split: DataFrame, dim: int, radius: float, parts: int, s: Settings) -> DataFrame:
-    """Edges within units of several pieces (``unit, id, v, pieces``); exact, no task holding much more than ``cell_rows`` rows.
+    """Edges within units of several pieces (``unit, id, v, pieces``); exact, no task holding much more than ``piece_rows`` rows.
 
     The rows of a unit are dealt out to its pieces by hash, the same pivot rows going to all of them, so what
     is linked to a pivot comes together across pieces. Rows outside the unit's largest component so far are
@@ -259,7 +349,7 @@ def _link_crowded(split: DataFrame, dim: int, radius: float, parts: int, s: Sett
     largest component no link is needed any more. Where they are too many for that, all pieces of the unit
     meet pairwise instead.
     """
-    is_pivot = F.pmod(F.xxhash64("id", "unit"), F.lit(1 << 30)) < F.lit(int(s.pivots / s.cell_rows * (1 << 30))) / F.col("pieces")
+    is_pivot = F.pmod(F.xxhash64("id", "unit"), F.lit(1 << 30)) < F.lit(int(s.pivots / s.piece_rows * (1 << 30))) / F.col("pieces")
     dealt = split.withColumns({"pivot": is_pivot, "piece": F.pmod(F.xxhash64("unit", "id", F.lit(s.seed)), F.col("pieces")).cast("int")})
     all_pieces = F.sequence(F.lit(0), F.col("pieces") - 1)
 
@@ -267,17 +357,17 @@ def _link_crowded(split: DataFrame, dim: int, radius: float, parts: int, s: Sett
         place = F.explode(F.when(everywhere, all_pieces).otherwise(F.array("piece")))
         return rows.select("unit", "id", "v", place.alias("place")).select(F.xxhash64("unit", "place").alias("unit"), "id", "v")
 
-    first = cut(_link_units(units(dealt, F.col("pivot")), dim, radius, parts), "pieces")
+    first = cut(_link_units(units(dealt, F.col("pivot")), dim, radius, parts, s.leaf), "pieces")
     labels = propagate(first)
     known = dealt.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     shares = known.groupBy("unit", "label").agg(F.count("*").alias("n"))
     largest = cut(shares.groupBy("unit").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others")), "largest")
-    known = cut(known.join(largest.where("others > 0"), "unit").select("unit", "id", "v", "pieces", "piece", (F.col("label") != F.col("main")).alias("apart"), (F.col("others") > s.cell_rows).alias("many")), "known")
+    known = cut(known.join(largest.where("others > 0"), "unit").select("unit", "id", "v", "pieces", "piece", (F.col("label") != F.col("main")).alias("apart"), (F.col("others") > s.piece_rows).alias("many")), "known")
     few = units(known.where("NOT many"), F.col("apart"))
     half = known.where("many").select("unit", "id", "v", (F.col("pieces") * 2).alias("pieces")).withColumn("a", F.pmod(F.xxhash64("unit", "id"), F.col("pieces")).cast("int"))
     pairs = half.select("unit", "id", "v", "a", F.explode(all_pieces).alias("b"))
     pairs = pairs.select(F.xxhash64("unit", F.least("a", "b"), F.greatest("a", "b")).alias("unit"), "id", "v")
-    return first.unionByName(_link_units(few.unionByName(pairs), dim, radius, parts))
+    return first.unionByName(_link_units(few.unionByName(pairs), dim, radius, parts, s.leaf))
 
 
 def cluster(items: DataFrame, radius: float, dim: int, min_size: int = 5, settings: Settings = Settings(), index: str = "vec_index", vector: str = "v") -> DataFrame:
@@ -287,12 +377,12 @@ def cluster(items: DataFrame, radius: float, dim: int, min_size: int = 5, settin
     part, items loaded twice count once, equal vectors are linked, other columns aren't read, and an empty
     table has no clusters.
     """
-    cells, n = quantise(items, dim, settings, index, vector)
-    return _members(cells, n, radius, dim, min_size, settings).select(F.col("id").alias(index), F.col("label").alias("cluster_id"))
+    cells, _ = quantise(items, dim, radius, settings, index, vector)
+    return _members(cells, radius, dim, min_size, settings).select(F.col("id").alias(index), F.col("label").alias("cluster_id"))
 
 
-def _members(cells: DataFrame, n: int, radius: float, dim: int, min_size: int, s: Settings) -> DataFrame:
-    labels = propagate(link(cells, n, dim, radius, s))
+def _members(cells: DataFrame, radius: float, dim: int, min_size: int, s: Settings) -> DataFrame:
+    labels = propagate(link(cells, dim, radius, s))
     sizes = labels.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
     return labels.join(sizes, "label").select("id", "label", "size")
 
@@ -304,8 +394,8 @@ def describe(items: DataFrame, radius: float, dim: int, min_size: int = 5, typic
     """
     from pyspark.sql import Window
 
-    cells, n = quantise(items, dim, settings, index, vector)
-    members = cut(_members(cells, n, radius, dim, min_size, settings), "members")
+    cells, _ = quantise(items, dim, radius, settings, index, vector)
+    members = cut(_members(cells, radius, dim, min_size, settings), "members")
     place = cells.dropDuplicates(["id"]).select("id", "fine", "p")
     placed = cut(members.join(place, "id"), "placed")
     m = min(len(placed.select("p").head()[0]) if placed.limit(1).count() else 0, settings.directions)

@@ -11,17 +11,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiverlake.functions.vectors import lists, matrix, usable
-from quiverlake.llm.boxes import BoxRouter, BoxTree
 from quiverlake.llm.vptree import Router, VpTree
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the sample that fits the router; every row is indexed. ``relax`` 1 is exact."""
+    """The router is fitted on a sample of about ``sample_rows`` rows, at least ``rows_a_shard`` a shard; every row is indexed. ``relax`` 1 is exact."""
 
     relax: float = 0.7
     rows_per_shard: int = 24_000
     sample_rows: int = 20_000
+    rows_a_shard: int = 16  # so that shards stay as small in a larger table
     max_queries: int = 60_000  # queries of one task, estimated from the sample; a shard with more is split
     leaf: int = 128
     seed: int = 7
@@ -40,12 +40,13 @@ def collapse(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
     return first[order[rank < most]]
 
 
-def fit_router(base: DataFrame, n: int, dim: int, s: Settings, boxes: bool = False) -> Router | BoxRouter:
-    """The shards' router from a sample of about ``sample_rows`` rows, chosen by the hash of the id."""
-    step = max(1, n // s.sample_rows)
-    rows = base.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).limit(2 * s.sample_rows).toArrow().sort_by("id")
+def fit_router(base: DataFrame, n: int, dim: int, s: Settings) -> Router:
+    """The shards' router from a sample of ``sample_rows`` rows, or ``rows_a_shard`` for each shard if that is more, chosen by the hash of the id."""
     shards = max(1, -(-n // s.rows_per_shard))
-    return BoxRouter(matrix(rows.column("v"), dim), shards) if boxes else Router(matrix(rows.column("v"), dim), shards, s.seed)
+    want = max(s.sample_rows, shards * s.rows_a_shard)
+    step = max(1, n // want)
+    rows = base.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).limit(2 * want).toArrow().sort_by("id")
+    return Router(matrix(rows.column("v"), dim), shards, s.seed)
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, dim: int, radius: float | None = None, settings: Settings = Settings(), index: str = "vec_index", vector: str = "v") -> DataFrame:
@@ -56,10 +57,9 @@ def knn(queries: DataFrame, base: DataFrame, k: int, dim: int, radius: float | N
     neither queries nor found; rows loaded twice count once; a query with fewer than ``k`` others gets those
     there are; ``k`` < 1 gives no rows. Other columns are not read, so their names don't matter.
 
-    Base rows go to one shard each, by a router fitted on a bounded sample. With a radius, a query goes to
-    all shards within ``relax`` times the radius along the router's tree, and prunes by the radius there too;
-    with ``relax`` 1 both go by boxes instead of vantage points, which prune better and lose nothing. Without, it first asks its own
-    shard, and then the shards within ``relax`` times the distance of the k-th row found there. Of equal
+    Base rows go to one shard each, by a router fitted on a sample. With a radius, a query goes to all shards
+    within ``relax`` times the radius along the router's tree, and prunes by the radius there too; with ``relax``
+    1 nothing within the radius is lost, in the router and in the shards. Without, it first asks its own shard, and then the shards within ``relax`` times the distance of the k-th row found there. Of equal
     vectors only k + 1 travel, so many copies don't fill a shard; a shard with many queries is split by query.
     """
     spark = base.sparkSession
@@ -69,8 +69,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, dim: int, radius: float | N
     n = base.count()
     if k < 1 or n == 0:
         return spark.createDataFrame([], "query_id bigint, base_id bigint, dist_sq double, rank int")
-    boxes = radius is not None and s.relax >= 1
-    router = fit_router(base, n, dim, s, boxes)
+    router = fit_router(base, n, dim, s)
     total = sum(router.weights) or 1
     load = np.array(router.weights) / total * queries.count() * (4 if router.shards > 1 else 1)
     chunks = np.maximum(1, np.ceil(load / s.max_queries)).astype(np.int64)
@@ -107,10 +106,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, dim: int, radius: float | N
         _, once = np.unique(q_ids, return_index=True)
         q_ids, q = q_ids[once], q[once]
         bound = asked.column("bound").to_numpy()[once]
-        if boxes:
-            rows, found, d = BoxTree(x[keep], ids[keep], s.leaf).knn(q, q_ids, k, bound)
-        else:
-            rows, found, d = VpTree(x[keep], ids[keep], s.leaf, s.seed).knn(q, q_ids, k, s.relax, bound, radius is None)
+        rows, found, d = VpTree(x[keep], ids[keep], s.leaf, s.seed).knn(q, q_ids, k, s.relax, bound, radius is None or s.relax >= 1)
         unit = asked.column("unit")[0].as_py() if asked.num_rows else 0
         return pa.table({"query_id": q_ids[rows], "base_id": found, "dist_sq": d, "shard": np.full(len(rows), unit // width, np.int32)})
 

@@ -17,10 +17,29 @@ from quiverlake.functions.vectors import squared_distances
 ROUND = 1e-9  # relative; distances from matrix products are this exact at least, in double precision
 
 
-def pick_vantage(x: np.ndarray, rng: np.random.Generator, tries: int = 6, against: int = 64) -> np.ndarray:
-    """Of a few rows the one whose distances to other rows spread most."""
-    some = x[rng.choice(len(x), min(tries, len(x)), replace=False)]
+def principal_axis(x: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """The direction in which the rows spread most, by power iteration."""
+    c = x - x.mean(0)
+    axis = c[np.argmax(np.einsum("ij,ij->i", c, c))]
+    for _ in range(rounds):
+        axis = (c @ axis) @ c
+        length = np.linalg.norm(axis)
+        if length == 0:
+            return np.eye(x.shape[1])[0]
+        axis = axis / length
+    return axis
+
+
+def pick_vantage(x: np.ndarray, rng: np.random.Generator, tries: int = 6, against: int = 256) -> np.ndarray:
+    """Of a few rows and a far point on the rows' principal axis the one whose distances to other rows spread most.
+
+    In many dimensions the distances from a row are nearly equal, so a border between them is near to most
+    queries; from far along the widest direction they spread more, and the triangle inequality prunes more.
+    """
     others = x[rng.choice(len(x), min(against, len(x)), replace=False)]
+    centre = others.mean(0)
+    reach = 16 * np.sqrt(squared_distances(centre[None], others).max())
+    some = np.concatenate([x[rng.choice(len(x), min(tries, len(x)), replace=False)], (centre + reach * principal_axis(others))[None]])
     return some[np.argmax(np.sqrt(squared_distances(some, others)).std(1))]
 
 
@@ -76,7 +95,7 @@ class Router:
                 continue
             vp, cut, inner, outer = node
             d = np.sqrt(squared_distances(x[active], vp[None]))[:, 0]
-            w = width[active]
+            w = width[active] + np.where(width[active] > 0, ROUND * (1 + d), 0.0)
             stack.append((inner, active[(d <= cut) | (d - w <= cut)]))
             stack.append((outer, active[(d > cut) | (d + w > cut)]))
         if not rows:
@@ -99,8 +118,9 @@ class VpTree:
             at = len(self.nodes)
             self.nodes.append(())
             if len(rows) > leaf:
-                vp = pick_vantage(x[rows], rng)
-                d = np.sqrt(squared_distances(vp[None], x[rows]))[0]
+                part = x[rows]
+                vp = pick_vantage(part, rng)
+                d = np.sqrt(squared_distances(vp[None], part))[0]
                 cut = float(np.median(d))
                 inner = d <= cut
                 if 0 < inner.sum() < len(rows):
@@ -117,44 +137,51 @@ class VpTree:
             build(np.arange(len(x)))
         rows = np.concatenate(order) if order else np.zeros(0, np.int64)
         self.x, self.ids = np.ascontiguousarray(x[rows]), ids[rows]
-        self.norms = np.einsum("ij,ij->i", self.x, self.x)
+        self.centre = self.x.mean(0) if len(x) else 0.0
+        self.near = self.x - self.centre  # centred, so that rounding goes by the spread and not by the offset
+        self.norms = np.einsum("ij,ij->i", self.near, self.near)
+        inner = [i for i, node in enumerate(self.nodes) if len(node) > 2]
+        self.vantage = np.stack([self.nodes[i][0] for i in inner]) if inner else np.zeros((0, x.shape[1]))
+        self.place = {i: j for j, i in enumerate(inner)}
 
     def knn(self, q: np.ndarray, q_ids: np.ndarray, k: int, relax: float, bound: np.ndarray, shrink: bool = True, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, id, squared distance) of the at most ``k`` nearest rows within each query's ``bound`` (a squared distance, inclusive); never the query's own id; ties by the smaller id. Pruning goes by the best so far, or with ``shrink`` false by the bound alone, which loses less at small factors."""
-        parts = [self._knn(q[i : i + block], q_ids[i : i + block], k, relax, bound[i : i + block], shrink) for i in range(0, len(q), block)]
-        parts = [(r + i * block, b, d) for i, (r, b, d) in enumerate(parts)]
+        parts = [self._knn(q[i : i + block], q_ids[i : i + block], k, relax, bound[i : i + block], shrink, i) for i in range(0, len(q), block) if self.nodes]
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(p) for p in zip(*parts))
 
-    def _knn(self, q: np.ndarray, q_ids: np.ndarray, k: int, relax: float, bound: np.ndarray, shrink: bool = True):
+    def _knn(self, q: np.ndarray, q_ids: np.ndarray, k: int, relax: float, bound: np.ndarray, shrink: bool, first: int):
         q = q.astype(np.float64, copy=False)
         n = len(q)
+        p = q - self.centre
+        size = np.einsum("ij,ij->i", p, p) + self.norms.max()
+        single = bool((1e-5 * size < 0.01 * bound).all())  # else single precision would be too coarse
+        slack = (1e-5 if single else ROUND) * (1 + size)  # more than the rounding of a squared distance below
+        kind = np.float32 if single else np.float64
+        # a squared distance is one product of rows with their norms: |p|^2 - 2 p.b + |b|^2
+        p = np.column_stack([-2 * p, np.einsum("ij,ij->i", p, p), np.ones(n)]).astype(kind)
+        base = np.column_stack([self.near, np.ones(len(self.near)), self.norms]).astype(kind).T
+        away = np.sqrt(squared_distances(self.vantage, q))  # (inner nodes, queries)
         best = np.full((n, k), np.inf)  # squared distances found so far
         limit = bound.astype(np.float64).copy()  # what a row must reach to count
         reach = limit if shrink else bound
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         done = np.full(n, -1, np.int64)  # the leaf of the first pass
-        if not self.nodes:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
         def scan(at: int, active: np.ndarray) -> None:
+            if not len(active):
+                return
             begin, end = self.nodes[at]
-            d = squared_distances(q[active], self.x[begin:end], self.norms[begin:end])
-            d[q_ids[active][:, None] == self.ids[None, begin:end]] = np.inf
-            slack = ROUND * (1 + limit[active])
-            hit = d <= (limit[active] + slack)[:, None]
-            some = hit.any(1)
+            d = p[active] @ base[:, begin:end]
+            some = d.min(1) <= limit[active] + 2 * slack[active]
             if not some.any():
                 return
-            rows = active[some]
-            d = np.where(hit[some], d[some], np.inf)
-            both = np.concatenate([best[rows], d], 1)
-            best[rows] = np.partition(both, k - 1, 1)[:, :k]
+            rows, d = active[some], d[some].astype(np.float64)
+            d[q_ids[rows][:, None] == self.ids[None, begin:end]] = np.inf
+            best[rows] = np.partition(np.concatenate([best[rows], d], 1), k - 1, 1)[:, :k]
             limit[rows] = np.minimum(limit[rows], best[rows].max(1))
-            keep = d <= (limit[rows] * (1 + ROUND) + ROUND)[:, None]
-            keep &= np.isfinite(d)
-            r, c = np.nonzero(keep)
+            r, c = np.nonzero((d <= (limit[rows] + 2 * slack[rows])[:, None]) & np.isfinite(d))
             found.append((rows[r], begin + c, d[r, c]))
 
         stack = [(0, np.arange(n))]
@@ -167,8 +194,8 @@ class VpTree:
                 done[active] = at
                 scan(at, active)
                 continue
-            d = np.sqrt(squared_distances(q[active], node[0][None]))[:, 0]
-            stack += [(node[2], active[d <= node[1]]), (node[4], active[d > node[1]])]
+            inner = away[self.place[at], active] <= node[1]
+            stack += [(node[2], active[inner]), (node[4], active[~inner])]
         stack = [(0, np.arange(n))]
         while stack:  # second pass: all that the relaxed bound leaves
             at, active = stack.pop()
@@ -178,23 +205,23 @@ class VpTree:
             if len(node) == 2:
                 scan(at, active[done[active] != at])
                 continue
-            d = np.sqrt(squared_distances(q[active], node[0][None]))[:, 0]
-            w = relax * np.sqrt(reach[active]) * (1 + ROUND) + ROUND
+            d = away[self.place[at], active]
+            w = relax * np.sqrt(reach[active] + 2 * slack[active]) + ROUND * (1 + d)
             for child, (low, high) in ((node[2], node[3]), (node[4], node[5])):
                 stack.append((child, active[(d >= low - w) & (d <= high + w)]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        rows, at, d = (np.concatenate(p) for p in zip(*found))
-        near = d <= limit[rows] * (1 + ROUND) + ROUND
+        rows, at, d = (np.concatenate(f) for f in zip(*found))
+        near = d <= limit[rows] + 2 * slack[rows]
         rows, at = rows[near], at[near]
         exact = np.empty(len(rows))
         for i in range(0, len(rows), 65536):  # distances again, term by term
             diff = q[rows[i : i + 65536]] - self.x[at[i : i + 65536]]
             exact[i : i + 65536] = np.einsum("ij,ij->i", diff, diff)
-        ids = self.ids[at]
+        near = exact <= bound[rows]
+        rows, ids, exact = rows[near], self.ids[at[near]], exact[near]
         order = np.lexsort((ids, exact, rows))
         rows, ids, exact = rows[order], ids[order], exact[order]
         starts = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1]) if len(rows) else np.zeros(0, np.int64)
-        rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows))))
-        take = (rank < k) & (exact <= bound[rows])
-        return rows[take], ids[take], exact[take]
+        take = np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows)))) < k
+        return rows[take] + first, ids[take], exact[take]
