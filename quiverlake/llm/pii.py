@@ -1,424 +1,223 @@
-"""Personal information in free text: a semi-Markov conditional random field over candidate segments.
+"""Personal information in free text: a semi-Markov conditional random field over spans of tokens.
 
-Wide patterns propose segments of each kind, with all boundaries that could be meant. Every segment gets
-whole-span features: its shape, check digits, word lists, the words around it. The model is log-linear in
-them; a text's labelling is the set of segments that don't overlap with the highest total, outside counting
-zero. Dynamic programming over the segments' ends finds it, with segments of bounded length, so it chooses
-boundaries and kinds together. The weights are fitted by ``pii_train`` on labelled texts made there.
+``pii_spans`` proposes spans of tokens and their whole-span features. The model is log-linear: a labelling
+of a text is a set of spans that don't overlap, and its score is the sum of its spans' weights and of the
+weights between a span and the last one before it, if that ended at most ``NEAR`` tokens earlier. Dynamic
+programming over the spans' ends finds the labelling of the highest score, so boundaries and kinds are chosen
+together. The weights (``pii_weights.json``) are fitted by ``pii_train``.
 """
 
 from __future__ import annotations
 
 import functools
 import json
-import math
-from bisect import bisect_right
-from collections import Counter
-from collections.abc import Iterable, Iterator
+import os
+from bisect import bisect_left
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "phone", "identity_number", "street_address", "name")
-MAX_SEGMENT = 96  # longer segments aren't proposed
-WEIGHTS = Path(__file__).with_name("pii_weights.json")
+from quiverlake.llm.bpe import load_ranks
+from quiverlake.llm.pii_spans import KINDS, Lexicon, Spans, word_classes
+from quiverlake.llm.tokens import vocabulary_path
 
-# one character to one, so positions stay: full-width forms, special spaces and hyphens
-_FLAT = {0xFF01 + i: 0x21 + i for i in range(94)} | {c: 0x20 for c in (0x3000, 0xA0, 0x2002, 0x2003, 0x2007, 0x2009, 0x202F)} | {c: 0x2D for c in (0x2010, 0x2011, 0x2012, 0x2013, 0x2212)} | {0x2019: 0x27}
-
-
-_ODD = regex.compile("[" + "".join(map(chr, _FLAT)) + "]")
-
-
-def flatten(text: str) -> str:
-    """``text`` with look-alike characters made plain; of the same length."""
-    return text if text.isascii() or not _ODD.search(text) else text.translate(_FLAT)
-
-
-# ---------------------------------------------------------------- e-mail
-_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
-_LOCAL = r"(?<![\p{Latin}\d.+_\-])[\p{Latin}\d](?:[\p{Latin}\d._+\-]*[\p{Latin}\d_+\-])?"
-_DOT = r"(?:\.| ?[\[(] ?(?i:dot) ?[\])] ?)"
-EMAIL = [
-    ("plain", regex.compile(rf"{_LOCAL}(?:@|%40){_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,}}(?![A-Za-z0-9])"), regex.compile("@|%40"), MAX_SEGMENT),
-    ("bracket", regex.compile(rf"{_LOCAL} ?[\[(] ?(?i:at) ?[\])] ?{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])"), regex.compile(r"(?i)[\[(] ?at ?[\])]"), MAX_SEGMENT),
-    ("word", regex.compile(rf"{_LOCAL} (?i:at) {_LABEL}(?: (?i:dot) {_LABEL})* (?i:dot) [A-Za-z]{{2,}}(?![A-Za-z0-9])"), regex.compile(r" (?:AT|at|At) (?=[^\n]{1,60} (?:DOT|dot|Dot) )"), MAX_SEGMENT),
-]
-
-# ---------------------------------------------------------------- phone
-_EDGE, _STOP = r"(?<![\p{Latin}\d_+(])(?<!\d[.,:/\-])(?<!\d\) ?)", r"(?!\d)(?![.,:/\-]\d)(?![\p{Latin}_])"
-_S = r"[ .·\-]?"
-PHONE = [
-    ("us", regex.compile(rf"{_EDGE}(?:(?:\+|00)?1{_S})?(?:\([2-9]\d\d\)|[2-9]\d\d){_S}[2-9]\d\d{_S}\d{{4}}{_STOP}")),
-    ("uk", regex.compile(rf"{_EDGE}(?:(?:\+|00)44{_S}(?:\(0\) ?)?[1-9]\d{{1,3}}|\(0\d{{2,4}}\)|0\d{{2,4}}){_S}\d{{3,4}}{_S}\d{{3,4}}{_STOP}")),
-    ("de", regex.compile(rf"{_EDGE}(?:(?:\+|00)49{_S}(?:\(0\) ?)?[1-9]\d{{1,4}}|\(0\d{{2,4}}\)|0\d{{2,4}})[ ./\-]{{0,3}}\d{{4,9}}(?:[ \-]\d{{1,4}})?{_STOP}")),
-    ("fr", regex.compile(rf"{_EDGE}(?:(?:\+|00)33{_S}(?:\(0\) ?)?|0)[1-9](?:{_S}\d\d){{4}}{_STOP}")),
-    ("cn", regex.compile(rf"{_EDGE}(?:(?:\+|00)86{_S})?1[3-9]\d{_S}\d{{4}}{_S}\d{{4}}{_STOP}")),
-    ("es", regex.compile(rf"{_EDGE}(?:(?:\+|00)34{_S})?[6789]\d\d(?:{_S}\d\d\d){{2}}{_STOP}")),
-    ("any", regex.compile(rf"{_EDGE}(?:\+|00)[1-9]\d{{0,2}}(?:[ .·/\-]?\(?\d{{1,5}}\)?){{2,6}}{_STOP}")),
-]
-ZONE = regex.compile(r"[+(]{0,2}\d[\d ().·/\-]{5,}[\dXx]")
-PHONE_CUE = regex.compile(r"(?i:tel|phone|fon|mobil|call|ring|dial|contact|backup|on-call|guardia|llamar|joindre|appel\w*|unter|oder|numéro)\W{0,6}$|[☎☏📞|]\s*$|(?:电话|手机|打|拨|致电)\W{0,4}$|->\s*$|(?i: au| or| unter| oder| al) ?[☎(]?\s*$")
-NUMBER_NOISE = regex.compile(r"(?i:part no\.?|key|snapshot|ticket|build|offset|run|version|no|row|rows|n=|id=|#)\s*$")
-
-# ---------------------------------------------------------------- identity numbers
-IDENTITY = [
-    ("ssn", regex.compile(rf"{_EDGE}\d{{3}}(?P<s>[ \-])\d{{2}}(?P=s)\d{{4}}{_STOP}")),
-    ("ssn9", regex.compile(rf"{_EDGE}\d{{9}}{_STOP}")),
-    ("nino", regex.compile(r"(?<![\p{Latin}\d_\-])(?i:[a-z]{2})[ \-]?\d\d[ \-]?\d\d[ \-]?\d\d[ \-]?(?i:[a-d])(?![\p{Latin}\d_])")),
-    ("idnr", regex.compile(rf"{_EDGE}\d{{2}}(?P<s>[ ]?)\d{{3}}(?P=s)\d{{3}}(?P=s)\d{{3}}{_STOP}")),
-    ("cnid", regex.compile(rf"{_EDGE}\d{{6}}(?P<s>[ \-]?)(?:18|19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?P=s)\d{{3}}[\dXx]{_STOP}")),
-]
-SIX = regex.compile(r"\d\d[ \-]?\d\d[ \-]?\d\d[ \-]?[A-Da-d](?![\p{Latin}\d_])")
-DIGIT = regex.compile(r"\d")
-ID_CUE = regex.compile(r"(?i:ssn|social security|nino|ni number|ni no|national insurance|id ?nr|steuer[\p{L}\-]*|tax id|id card|resident id|identity|identification|identifikationsnummer|passport|personal number|dossier|formulario|antrag|nummer lautet)\.?[^\n.;。]{0,14}$|(?:no|nr|number|nummer)\.?:? ?$|(?:身份证|证件)(?:号码?)?[:： ]{0,2}$|[=]$")
-ID_FORM = regex.compile(r"(?i:form|paperwork|note|badge|request|dossier|formulario|antrag|登记|lists|cita|steht|lautet)[^\n]{0,46}$")
-
-
-def mod_11_10(digits: str) -> bool:
-    """ISO 7064 MOD 11,10 over eleven digits."""
-    p = 10
-    for d in digits[:-1]:
-        p = ((p + int(d) - 1) % 10 + 1) * 2 % 11
-    return (11 - p) % 10 == int(digits[-1])
-
-
-def mod_11_2(digits: str) -> bool:
-    """ISO 7064 MOD 11,2 over eighteen characters, X being ten."""
-    total = sum(pow(2, 17 - i, 11) * (10 if c in "Xx" else int(c)) for i, c in enumerate(digits))
-    return total % 11 == 1
-
-
-# ---------------------------------------------------------------- street addresses
-#: Words for streets.
-EN_STREETS = "Street St Road Rd Avenue Ave Lane Ln Drive Dr Court Ct Terrace Ter Place Pl Square Sq Boulevard Blvd Way Close Crescent Parkway Pkwy Trail Walk Row Hill Gardens Grove Highway Hwy Circle Cir Mews".split()
-DE_STREETS = "straße strasse str\\. weg gasse allee platz ring damm ufer steig chaussee graben stieg pfad zeile".split()
-FR_STREETS = "rue avenue av\\. boulevard bd\\.? bld place pl\\. allée allee chemin quai impasse route cours ruelle sentier".split()
-ES_STREETS = "calle c/ avenida avda\\.? av\\. paseo plaza camino ronda travesía carrera callejón".split()
-ZH_STREETS = "大街 大道 支路 路 街 巷 弄 胡同 里".split()
-_NUM = r"\d{1,5}(?:[\-/]\d{1,4})?[A-Za-z]?"
-_EN = "|".join(EN_STREETS + [w.upper() for w in EN_STREETS])
-_WORD = r"\p{Lu}[\p{L}'\-]*"
-ADDRESS = [
-    ("en", regex.compile(rf"(?<![\p{{L}}\d.,\-/:])(?:{_NUM})(?: (?:[NSEW]|NE|NW|SE|SW)\.?| (?i:north|south|east|west))?(?: {_WORD}){{1,3}} (?:{_EN})(?: (?:[NSEW]|NE|NW|SE|SW)(?![\p{{L}}.]))?(?![\p{{L}}\d])"), ()),
-    ("de", regex.compile(rf"(?<![\p{{L}}\d])(?:(?:\p{{Lu}}\p{{L}}+[ \-])?\p{{Lu}}[\p{{L}}\-]*(?:{'|'.join(DE_STREETS)})|(?:(?:Am|Im|An der|An den|Auf der|Auf dem|In der|Zum|Zur|Hinter dem|Unter den) )(?:\p{{Lu}}\p{{L}}+ ?){{1,2}}|\p{{Lu}}\p{{L}}+er (?:Straße|Str\.|Weg|Platz|Allee|Ring|Damm|Ufer))(?i:) ?\d{{1,4}}(?: ?[a-h](?![\p{{L}}]))?(?:[\-/]\d{{1,3}})?(?![\d\p{{L}}])(?!\.\d)"), ("stra", "str.", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "steig", "chaussee", "graben", "stieg", "pfad", "zeile", "am ", "im ", "an de", "auf de", "in der", "zum ", "zur ", "hinter dem", "unter den")),
-    ("fr", regex.compile(rf"(?<![\p{{L}}\d.,\-/:])\d{{1,4}}(?: ?(?:bis|ter|quater)\b| ?[A-D]\b)?,? (?i:{'|'.join(FR_STREETS)}) (?:(?:de la |de l'|du |des |de |d'|la |le |les |l'))?{_WORD}(?: (?:de la |de l'|du |des |de |d')?{_WORD}){{0,3}}(?![\p{{L}}])"), tuple(w.replace("\\.?", "").replace("\\.", ".") + " " for w in FR_STREETS) + ("av.", "bd.")),
-    ("es", regex.compile(rf"(?<![\p{{L}}\d])(?i:{'|'.join(ES_STREETS)}) ?(?:(?:de los |de las |de la |del |de |la |el ))?{_WORD}(?: (?:(?:de los |de las |de la |del |de |y ))?{_WORD}){{0,3}},? (?:n\.? ?[ºo°]\.? ?|núm\.? |nº ?|#)?\d{{1,4}}(?: ?(?:bis)\b|[A-Za-z]\b)?(?![\d\p{{L}}])(?!\.?[ºª°])"), tuple(w.replace("\\.?", "").replace("\\.", ".") for w in ES_STREETS)),
-]
-ZH_ADDRESS = regex.compile(rf"(?P<name>[一-鿿]{{1,8}}?)(?:{'|'.join(ZH_STREETS)})(?:[东南西北中一二三四五六七八九十]段)?\d{{1,5}}(?:[之\-]\d{{1,4}})?号")
-ZH_TO = ("寄往", "住址", "地址", "送到", "寄到", "寄至", "送往", "住在", "位于", "家住", "发往", "地点", "在")
-ADDRESS_CUE = regex.compile(r"(?i:address|arrives|go(?:es)? to|deliver\w*|courier|left \w+ \w+ at|at|to|sent|desk of[^\n]*\n|lieferung \w+ \w+ an|anschrift|adresse|partent au|envoyer\w* au|enviar \w+ \w+ a|domicilio|dirección|apt\.? ?\w+,|flat \w+,|unit \w+,|\bau|\ban|\ba)[\s,:]*$|^\s*$|\n$")
-
-# ---------------------------------------------------------------- names
-_INITIAL = r"\p{Lu}\."
-_PART = r"(?:(?:[Vv]an der|[Vv]an den|[Vv]an de|[Vv]an|[Vv]on der|[Vv]on|[Dd]e la|[Dd]e|[Dd]el|[Dd]i|[Dd]a|[Ll]e|[Ll]a|[Tt]er|[Tt]en|VAN DER|VAN|VON|DE) )?"
-_NAMEWORD = r"(?:[dDOlL]')?\p{Lu}[\p{Latin}\p{M}]+(?:'\p{Lu}?\p{Latin}+)?(?:-\p{Lu}[\p{Latin}\p{M}]+)*"
-_LEFT, _RIGHT = r"(?<![\p{Lu}\p{M}_'\-@.+/%])", r"(?![\p{Latin}\p{M}\d_@%]|-\p{Latin}|'\p{Latin}|\.[\p{Latin}\d])"
-NAME = [
-    ("first_last", regex.compile(rf"{_LEFT}(?P<g>{_NAMEWORD})(?: {_INITIAL}){{0,2}} (?P<f>{_PART}{_NAMEWORD}){_RIGHT}")),
-    ("initial_last", regex.compile(rf"{_LEFT}(?P<g>{_INITIAL})(?:[ ]?{_INITIAL})? (?P<f>{_PART}{_NAMEWORD}){_RIGHT}")),
-    ("last_first", regex.compile(rf"{_LEFT}(?P<f>{_PART}{_NAMEWORD}), (?P<g>{_NAMEWORD}(?: {_INITIAL}){{1,2}}|{_NAMEWORD}{_RIGHT}|{_INITIAL})")),
-    ("last_first_plain", regex.compile(rf"{_LEFT}(?P<f>{_PART}{_NAMEWORD}) (?P<g>{_INITIAL})(?![\p{{L}}\d]| {_NAMEWORD})")),
-]
-NAME_TITLE = regex.compile(r"(?:\b(?i:dr|mr|mrs|ms|prof|herr|herrn|frau|mme|mlle|sr|sra|don|doña)\.?) $")
-NAME_CUE = regex.compile(r"(?i:\b(?:by|for|from|owner|attention|according to|contact|ping|of|name|to|für|hd\.|ist|bitte|an|selon|joindre|à|nom de|attention de|según|avisar a|junto a|atención de|todo))[\s:(\"|]*$|(?:姓名|收件人|联系人|抄送)[:： ]?$")
-NOT_BEFORE = regex.compile(r"(?i:\b(?:the|a|an|der|die|das|le|la|les|el|los|this|that)) $")
-NOT_AFTER = regex.compile(r"\s(?:\p{Lu}\p{Ll}+)\b")
-THING = regex.compile(r"^\s(?i:sweep|index|branch|street|road|avenue|lane|drive|court|terrace|kernel|kernels|tiles|institute|university|gmbh|inc|ltd|corp|conference|award|method|algorithm|theorem|lemma|test|bridge|river|valley|station|project|library|model|cluster|server|suite|plot)\b")
-#: Words that begin sentences and are no names.
-NO_NAME = frozenset("the a an this that these those our your his her their its my we they he she it i if in on at of for from to by with and or but not no so as is are was were be been let please see also each every all any some none when while where what which who why how before after given although because since until unless der die das ein eine im am le la les un une el los las una se no".split())
-#: Frequent and some rare family names.
-ZH_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤温康施文牛樊葛邢安齐易乔伍庞颜倪庄聂章鲁岳翟殷詹申欧耿关兰焦俞左柳甘祝包宁尚符舒阮柯纪梅童凌毕单季裴霍涂成苗谷盛曲翁冉骆蓝路游辛靳管柴蒙鲍华喻祁房解牟屈滕卫岑嵇郦蔺柏虞闻荀"
-ZH_NAME = regex.compile(rf"(?P<f>[{ZH_FAMILY}])(?P<g>[一-鿿]{{1,2}})")
-ZH_BEFORE = regex.compile(r"(?:姓名|收件人|联系人|抄送|负责人|申请人|经办人|同事|请|找|由|据|给|向|与|和|问)[:： ]?$")
-ZH_AFTER = regex.compile(r"^(?:[，。、；！？）)\s]|昨|今|明|已|刚|曾|说|称|负责|认为|先生|女士|老师|工程师|在|把|将|的电话|$)")
-ZH_TIME = regex.compile(r"^(?:昨|今|明|已|刚|曾|说|称|负责|认为)")
-ZH_CLAUSE = regex.compile(r"(?:^|[^一-鿿])$")
-
-
-_BREAK = regex.compile("[ -]")
-_MIDDLE = regex.compile(r" \p{Lu}\.")
-_LATIN = regex.compile(r"[\p{Latin}\d]")
-_CAPITAL = regex.compile(r"\p{Lu}\p{L}+ $")
-_INITIAL_END = regex.compile(r"\p{Lu}\. $")
-_PARTICLE_END = regex.compile(r"\b(?:van|von|der|den|de|la|del) $|[dDO]'$")
-
-
-class Gazetteer:
-    """The incomplete list of name parts, and the beginnings and endings common in it."""
-
-    def __init__(self, parts: Iterable[tuple[str, str]]):
-        self.given: set[str] = set()
-        self.family: set[str] = set()
-        for part, kind in parts:
-            if part:
-                (self.given if kind == "given" else self.family).add(part.lower())
-        common = lambda words, cut: {x for x, n in Counter(x for w in words for x in cut(w)).items() if n >= 3}
-        ends = lambda w: [w[-k:] for k in range(2, 6) if len(w) > k + 1]
-        starts = lambda w: [w[:k] for k in range(3, 6) if len(w) > k + 1]
-        self.ends = (common(self.given, ends), common(self.family, ends))
-        self.starts = (common(self.given, starts), common(self.family, starts))
-
-    @functools.lru_cache(maxsize=200_000)  # noqa: B019
-    def look(self, word: str, which: int) -> tuple[bool, int, int]:
-        """(listed, length of the longest common ending, of the longest common beginning) of a given (0) or family (1) name; the best of its hyphenated parts."""
-        known = self.family if which else self.given
-        best = (False, 0, 0)
-        for w in _BREAK.split(word.lower()):
-            end = next((k for k in range(5, 1, -1) if w[-k:] in self.ends[which] and len(w) > k), 0)
-            start = next((k for k in range(5, 2, -1) if w[:k] in self.starts[which] and len(w) > k), 0)
-            best = max(best, (w in known, end, start))
-        return (best[0] or word.lower() in known, best[1], best[2])
-
-
-Segment = tuple[int, int, str, dict]
-
-
-def _role(f: dict, g: Gazetteer, word: str, which: int, tag: str) -> None:
-    listed, end, start = g.look(word, which)
-    f[f"{tag}_listed"] = float(listed)
-    f[f"{tag}_end"] = min(end, 4) / 4
-    f[f"{tag}_start"] = min(start, 4) / 4
-    f[f"{tag}_both"] = float(end >= 2 and start >= 3)
-    f[f"{tag}_strange"] = float(not listed and end < 3 and start < 3)
-
-
-def segments(text: str, g: Gazetteer) -> list[Segment]:
-    """All proposed segments ``(start, end, kind, features)`` of a text."""
-    t = flatten(text)
-    n = len(t)
-    found: dict[tuple[int, int, str], dict] = {}
-
-    def add(start: int, end: int, kind: str, **features: float) -> dict | None:
-        if not 0 < end - start <= MAX_SEGMENT:
-            return None
-        f = found.setdefault((start, end, kind), {f"{kind}": 1.0})
-        f.update({f"{kind}:{k}": float(v) for k, v in features.items() if v})
-        return f
-
-    for name, p, mark, reach in EMAIL:
-        done = 0  # patterns run only around their marks
-        for at in mark.finditer(t):
-            if at.start() >= done and (m := p.search(t, max(done, at.start() - MAX_SEGMENT), min(n, at.end() + reach))):
-                add(m.start(), m.end(), "email", **{name: 1})
-                done = m.end()
-    zones = [z.span() for z in ZONE.finditer(t)]
-    within = lambda p: (m for a, b in zones for m in p.finditer(t, a, min(n, b + 3)))
-    if zones:
-        for name, p in PHONE:
-            for m in within(p):
-                s, e = m.span()
-                count = sum(c.isdigit() for c in m.group())
-                if not 7 <= count <= 15:
-                    continue
-                before = t[max(0, s - 24) : s]
-                add(s, e, "phone", cue=bool(PHONE_CUE.search(before)), plus=m.group()[0] == "+", paren="(" in m.group(), noise=bool(NUMBER_NOISE.search(before)), id_cue=bool(ID_CUE.search(before)), bare=m.group().isdigit(), alone=s == 0 or t[s - 1] == "\n", listed=before[-2:] == ", ", short=count < 10, long=e - s, **{name: 1})
-                f = found.get((s, e, "phone"))
-                if f:
-                    f["phone:long"] = (e - s) / 20
-    sixes = [(max(0, x.start() - 3), x.end() - 2) for x in SIX.finditer(t)]
-    if zones or sixes:
-        for name, p in IDENTITY:
-            for m in (m for a, b in sixes for m in p.finditer(t, a, min(n, b + 3))) if name == "nino" else within(p):
-                s, e = m.span()
-                before = t[max(0, s - 60) : s]
-                plain = "".join(c for c in m.group() if c.isalnum())
-                ok = mod_11_10(plain) if name == "idnr" else mod_11_2(plain) if name == "cnid" else name == "nino"
-                add(s, e, "identity_number", cue=bool(ID_CUE.search(before)), form=bool(ID_FORM.search(before)), noise=bool(NUMBER_NOISE.search(before)) and not ID_CUE.search(before), **{name: 1, f"{name}_cue": bool(ID_CUE.search(before)), f"{name}_ok": ok, f"{name}_not_ok": not ok, "qq": plain[:2].lower() == "qq"})
-    if DIGIT.search(t):
-        low = t.lower()
-        for name, p, hints in ADDRESS:
-            if hints and not any(h in low for h in hints):
-                continue
-            for m in p.finditer(t, overlapped=True):
-                s, e = m.span()
-                add(s, e, "street_address", **{name: 1, "cue": bool(ADDRESS_CUE.search(t[max(0, s - 30) : s])), "long": (e - s) / 30})
-                f = found.get((s, e, "street_address"))
-                if f:
-                    f["street_address:long"] = (e - s) / 30
-        for m in ZH_ADDRESS.finditer(t) if not t.isascii() else ():
-            s0, e = m.span()
-            name_end = m.end("name")
-            while s0 > 0 and name_end - s0 < 6 and "一" <= t[s0 - 1] <= "鿿":
-                s0 -= 1
-            for s in range(s0, name_end):
-                before, inside = t[max(0, s - 2) : s], t[s:name_end]
-                add(s, e, "street_address", zh=1, zh_to=before in ZH_TO or before[-1:] in ("在", "于"), zh_open=s == 0 or not "一" <= t[s - 1] <= "鿿", zh_verb_inside=any(w in t[s:name_end] for w in ZH_TO), zh_short=len(inside) < 2, zh_len=len(inside) / 4)
-    for name, p in NAME:
-        for m in p.finditer(t, overlapped=True):
-            s, e = m.span()
-            given, family = m.group("g"), m.group("f")
-            f = add(s, e, "name", **{name: 1})
-            if f is None:
-                continue
-            before, after = t[max(0, s - 24) : s], t[e : e + 16]
-            initial = given.endswith(".") and len(given) <= 2
-            if name == "first_last" and " " not in family and given.count(" ") == 0 and m.end("g") + 1 == m.start("f"):
-                f["name:last_first_plain"] = 1.0  # the same two words may be the other way round
-                _role(f, g, family, 0, "name:plain_g")
-                _role(f, g, given, 1, "name:plain_f")
-            tag = f"name:{'plain' if name == 'last_first_plain' else 'rev' if name == 'last_first' else 'fwd'}"
-            given_word = given.split(" ")[0]
-            if initial:
-                f[f"{tag}_initial"] = 1.0
-            else:
-                _role(f, g, given_word, 0, f"{tag}_g")
-                if g.look(given_word, 1)[0]:
-                    f[f"{tag}_g_is_family"] = 1.0
-            _role(f, g, family, 1, f"{tag}_f")
-            if g.look(family, 0)[0]:
-                f[f"{tag}_f_is_given"] = 1.0
-            middle = m.group()[: m.group().find(family)] if name != "last_first" else given
-            f["name:no_name"] = float(given_word.lower() in NO_NAME or family.lower() in NO_NAME)
-            f["name:capitals"] = float(given.isupper() and family.isupper() and len(given) > 2)
-            f["name:all_strange"] = float(bool(f.get(f"{tag}_f_strange") and (initial or f.get(f"{tag}_g_strange"))))
-            f["name:middle"] = float(bool(_MIDDLE.search(middle)))
-            f["name:glued"] = float(s > 0 and bool(_LATIN.match(t[s - 1])))
-            f["name:title"] = float(bool(NAME_TITLE.search(before)))
-            f["name:cue"] = float(bool(NAME_CUE.search(before)))
-            f["name:the"] = float(bool(NOT_BEFORE.search(before)))
-            f["name:thing"] = float(bool(THING.search(after)))
-            f["name:capital_next"] = float(bool(NOT_AFTER.match(after)))
-            f["name:capital_before"] = float(bool(_CAPITAL.search(before)) and not f["name:title"])
-            f["name:initial_before"] = float(bool(_INITIAL_END.search(before)) and not f["name:title"])
-            f["name:particle_before"] = float(bool(_PARTICLE_END.search(before)))
-    for m in ZH_NAME.finditer(t, overlapped=True) if not t.isascii() else ():
-        for e in range(m.end("f") + 1, m.end() + 1):
-            s = m.start()
-            before, after = t[max(0, s - 5) : s], t[e : e + 4]
-            ahead = bool(ZH_BEFORE.search(before))
-            behind = bool(ZH_AFTER.search(after))
-            clause = bool(ZH_CLAUSE.search(before))
-            if not (ahead or clause):
-                continue
-            add(s, e, "name", zh=1, zh_ahead=ahead, zh_behind=behind, zh_clause=clause and not ahead, zh_clause_time=clause and not ahead and bool(ZH_TIME.search(after)), zh_one=e - s == 2, zh_framed=ahead and behind, zh_digit=clause and before[-1:].isdigit())
-    return [(s, e, k, f) for (s, e, k), f in found.items() if e <= n]
-
-
-@functools.lru_cache(maxsize=4)
-def load_weights(path: str = str(WEIGHTS)) -> dict[str, float]:
-    return json.loads(Path(path).read_text())
-
-
-def score(features: dict, weights: dict[str, float]) -> float:
-    return sum(v * weights.get(k, 0.0) for k, v in features.items())
-
-
-def best_segments(proposed: list[Segment], weights: dict[str, float]) -> list[tuple[int, int, str, float]]:
-    """The segments without overlap of the highest total, in order: Viterbi over segment ends."""
-    scored = sorted(((e, s, k, w) for s, e, k, f in proposed if (w := score(f, weights)) > 0), key=lambda x: x[:3])
-    ends = [x[0] for x in scored]
-    best, back = [0.0], [-1]
-    for i, (e, s, _, w) in enumerate(scored):
-        before = bisect_right(ends, s, 0, i)
-        if best[before] + w > best[i]:
-            best.append(best[before] + w)
-            back.append(before)
-        else:
-            best.append(best[i])
-            back.append(-1)
-    out, i = [], len(scored)
-    while i:
-        if back[i] >= 0:
-            e, s, k, w = scored[i - 1]
-            out.append((s, e, k, w))
-            i = back[i]
-        else:
-            i -= 1
+WEIGHTS = Path(__file__).with_name("pii_weights.json")
+NEAR = 6  # tokens between two spans up to which their kinds bear on each other
+SOME_CHARS = 2_000_000  # of text at once
+
+Found = tuple[int, int, str, float]
+
+
+class Model:
+    """Weights by kind, group of features and value, in one flat array; and between kinds."""
+
+    def __init__(self):
+        self.at: dict[str, np.ndarray] = {}
+        size = 0
+        for kind in KINDS:
+            groups = Spans.SIZES["number" if kind in ("phone", "identity_number") else kind]
+            self.at[kind] = size + np.concatenate([[0], np.cumsum(groups[:-1])])
+            size += sum(groups)
+        self.flat = np.zeros(size)
+        self.between = np.zeros((len(KINDS), len(KINDS)))
+
+    def index(self, kind: str, features: np.ndarray) -> np.ndarray:
+        return features + self.at[kind]
+
+    def score(self, spans: Spans) -> np.ndarray:
+        parts = [self.flat[self.index(kind, f)].sum(1) for kind, f in spans.features]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def save(self, path: Path = WEIGHTS) -> None:
+        some = np.flatnonzero(np.abs(self.flat) >= 0.005)
+        path.write_text(json.dumps({"size": len(self.flat), "between": self.between.round(3).tolist(), "weights": {int(i): round(float(self.flat[i]), 2) for i in some}}, separators=(",", ":")) + "\n")
+
+    @staticmethod
+    @functools.lru_cache(maxsize=2)
+    def load(path: str = str(WEIGHTS)) -> Model:
+        saved, model = json.loads(Path(path).read_text()), Model()
+        if saved["size"] != len(model.flat):
+            raise ValueError("these weights belong to other features")
+        model.flat[[int(i) for i in saved["weights"]]] = list(saved["weights"].values())
+        model.between = np.array(saved["between"])
+        return model
+
+
+def best_labelling(spans: list[tuple[int, int, int, float]], between: np.ndarray) -> list[int]:
+    """Which of the spans ``(first token, last token, kind, score)``, sorted by their last token, make the labelling of the highest score."""
+    ends: list[int] = []  # last tokens
+    total: list[float] = []  # score of the best labelling whose last span this is
+    came: list[int] = []
+    top: list[tuple[float, int]] = [(0.0, -1)]  # the best of the first n, or none
+    table = between.tolist()
+    for n, (first, last, kind, score) in enumerate(spans):
+        far = bisect_left(ends, first - NEAR)
+        best, back = top[far]
+        for p in range(far, bisect_left(ends, first)):
+            value = total[p] + table[spans[p][2]][kind]
+            if value > best:
+                best, back = value, p
+        ends.append(last)
+        total.append(best + score)
+        came.append(back)
+        top.append(max(top[-1], (best + score, n), key=lambda x: x[0]))
+    out, n = [], top[-1][1]
+    while n >= 0:
+        out.append(n)
+        n = came[n]
     return out[::-1]
 
 
-def find(text: str | None, g: Gazetteer, weights: dict[str, float]) -> list[tuple[int, int, str, float]]:
-    """Occurrences ``(start, end, kind, score)`` in code points; none in null and empty texts."""
-    return best_segments(segments(text, g), weights) if text else []
-
-
-def _gazetteer(parts: DataFrame, most: int = 200_000) -> Gazetteer:
-    """The list is broadcast; it must have at most ``most`` rows."""
+def find_all(texts: list[str], lex: Lexicon, model: Model) -> list[list[Found]]:
+    """For every text its occurrences ``(start, end, kind, score)`` in code points, in order."""
+    out: list[list[Found]] = [[] for _ in texts]
+    at = 0
+    while at < len(texts):  # some texts at once, so that the columns stay small
+        stop, chars = at, 0
+        while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= SOME_CHARS):
+            chars += len(texts[stop])
+            stop += 1
+        spans = Spans(texts[at:stop], lex)
+        score = model.score(spans)
+        keep = np.flatnonzero(score > -2 * max(0.0, model.between.max()))  # others can't be in the best labelling
+        keep = keep[np.lexsort((spans.j[keep], spans.text[keep]))]
+        rows = list(zip(*(a[keep].tolist() for a in (spans.text, spans.i, spans.j, spans.kind, score, spans.start, spans.end))))
+        n = 0
+        while n < len(rows):
+            m = n
+            while m < len(rows) and rows[m][0] == rows[n][0]:
+                m += 1
+            one = rows[n:m]
+            out[at + rows[n][0]] = [(one[c][5], one[c][6], KINDS[one[c][3]], one[c][4]) for c in best_labelling([r[1:5] for r in one], model.between)]
+            n = m
+        at = stop
+    return out
+
+
+def find(text: str | None, lex: Lexicon, model: Model) -> list[Found]:
+    """Occurrences in one text; none in null and empty texts."""
+    return find_all([text], lex, model)[0] if text else []
+
+
+def vocabulary(path: str | None = None) -> dict[str, int]:
+    """What the public vocabulary file says about words' capitals; without the file, nothing."""
+    path = path or vocabulary_path()
+    return word_classes(load_ranks(path).items()) if os.path.exists(path) else {}
+
+
+def lexicon_of(parts: DataFrame, path: str | None = None, most: int = 200_000) -> tuple[list[tuple[str, str]], dict[str, int]]:
+    """The list of name parts, which must have at most ``most`` rows, and the vocabulary (some 50,000 words): what is broadcast."""
     rows = parts.select("name_part", "part_kind").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} name parts")
-    return Gazetteer((r["name_part"], r["part_kind"]) for r in rows)
+    return [(r["name_part"], r["part_kind"]) for r in rows], vocabulary(path)
+
+
+class _Worker:
+    """What a Python worker needs, made once for a broadcast value."""
+
+    last: tuple | None = None
+
+    @classmethod
+    def of(cls, shared) -> tuple[Lexicon, Model]:
+        value = shared.value
+        if cls.last is None or cls.last[0] is not value or len(cls.last[1]) > 500_000:
+            cls.last = (value, Lexicon(*value[0]), Model.load(value[1]) if isinstance(value[1], str) else value[1])
+        return cls.last[1], cls.last[2]
+
+
+def _share(docs: DataFrame, parts: DataFrame, weights: str, path: str | None):
+    return docs.sparkSession.sparkContext.broadcast((lexicon_of(parts, path), Model.load(weights)))
 
 
-def occurrences(docs: DataFrame, parts: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: str = str(WEIGHTS)) -> DataFrame:
+def occurrences(docs: DataFrame, parts: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: str = str(WEIGHTS), path: str | None = None) -> DataFrame:
     """``(id_col, pii_kind, start_pos, end_pos)``: one row an occurrence; positions in code points, the end exclusive.
 
-    Null and empty texts have none; a document that comes twice has its rows twice. Map-only.
+    Null and empty texts have none; a document that comes twice has its rows twice; names may lack in ``parts``,
+    which may be empty; other columns aren't read. ``path`` is the public vocabulary file (read on the driver).
+    Map-only.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((_gazetteer(parts), load_weights(weights)))
+    shared = _share(docs, parts, weights, path)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, w = shared.value
+        lex, model = _Worker.of(shared)
         for batch in batches:
-            rows, kinds, starts, ends = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for s, e, k, _ in find(text, g, w):
-                    rows.append(i)
-                    kinds.append(k)
-                    starts.append(s)
-                    ends.append(e)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["id", "pii_kind", "start_pos", "end_pos"])
+            found = find_all([t or "" for t in batch.column(1).to_pylist()], lex, model)
+            rows = [(i, *f) for i, some in enumerate(found) for f in some]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[3], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["id", "pii_kind", "start_pos", "end_pos"])
 
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, pii_kind string, start_pos int, end_pos int")
     return out.withColumnRenamed("id", id_col)
 
 
-def mask(text: str | None, g: Gazetteer, weights: dict[str, float]) -> str | None:
+def mask(text: str | None, found: list[Found]) -> str | None:
     """The text with ``[EMAIL]``, ``[PHONE]`` and so on in place of the occurrences, all else unchanged."""
     if not text:
         return text
     out, at = [], 0
-    for s, e, k, _ in find(text, g, weights):
+    for s, e, k, _ in found:
         out += [text[at:s], f"[{k.upper()}]"]
         at = e
     return "".join(out) + text[at:]
 
 
-def masked(docs: DataFrame, parts: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: str = str(WEIGHTS)) -> DataFrame:
+def masked(docs: DataFrame, parts: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: str = str(WEIGHTS), path: str | None = None) -> DataFrame:
     """``(id_col, text_col)`` with typed placeholders; null stays null, empty stays empty. Map-only."""
-    shared = docs.sparkSession.sparkContext.broadcast((_gazetteer(parts), load_weights(weights)))
+    shared = _share(docs, parts, weights, path)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, w = shared.value
+        lex, model = _Worker.of(shared)
         for batch in batches:
-            text = pa.array([mask(t, g, w) for t in batch.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), text], ["id", "text"])
+            texts = batch.column(1).to_pylist()
+            found = find_all([t or "" for t in texts], lex, model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mask(t, f) for t, f in zip(texts, found)], pa.string())], ["id", "text"])
 
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, text string")
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col))
 
 
-def log_total(proposed: list[Segment], weights: dict[str, float]) -> tuple[float, list[float]]:
-    """Log of the sum over all labellings, and each proposed segment's probability: forward and backward over positions."""
-    places = sorted({p for s, e, _, _ in proposed for p in (s, e)})
-    at = {p: i for i, p in enumerate(places)}
-    m = len(places)
-    scores = [score(f, weights) for _, _, _, f in proposed]
-    ending: list[list[int]] = [[] for _ in range(m)]
-    starting: list[list[int]] = [[] for _ in range(m)]
-    for i, (s, e, _, _) in enumerate(proposed):
-        ending[at[e]].append(i)
-        starting[at[s]].append(i)
-
-    def add(a: float, b: float) -> float:
-        return max(a, b) + math.log1p(math.exp(-abs(a - b)))
-
-    ahead, behind = [0.0] * m, [0.0] * m
-    for p in range(m):
-        v = ahead[p - 1] if p else 0.0
-        for i in ending[p]:
-            v = add(v, ahead[at[proposed[i][0]]] + scores[i])
-        ahead[p] = v
-    for p in range(m - 1, -1, -1):
-        v = behind[p + 1] if p + 1 < m else 0.0
-        for i in starting[p]:
-            v = add(v, behind[at[proposed[i][1]]] + scores[i])
-        behind[p] = v
-    total = ahead[-1] if m else 0.0
-    return total, [math.exp(ahead[at[s]] + scores[i] + behind[at[e]] - total) for i, (s, e, _, _) in enumerate(proposed)]
+def chances(spans: list[tuple[int, int, int]], score: np.ndarray, between: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log of the sum over all labellings; each span's probability; expected numbers of near neighbours by kinds. Spans ``(first, last, kind)`` sorted by their last token."""
+    n = len(spans)
+    first, last, kind = (np.array([s[c] for s in spans]) for c in range(3)) if n else (np.zeros(0, int),) * 3
+    ahead = last[:, None] < first[None, :]
+    near = ahead & (first[None, :] - last[:, None] <= NEAR)
+    step = np.where(near, np.exp(between[kind[:, None], kind[None, :]]), 1.0) * ahead
+    weight = np.exp(np.clip(score, -60, 60))
+    forward, backward = np.zeros(n), np.ones(n)
+    for s in range(n):
+        forward[s] = weight[s] * (1 + forward[:s] @ step[:s, s])
+    for s in np.argsort(-first, kind="stable"):
+        backward[s] = 1 + (step[s] * weight) @ np.where(ahead[s], backward, 0)
+    z = 1 + forward.sum()
+    pair = (forward[:, None] * step * (weight * backward)[None, :] / z) * near
+    expected = np.zeros_like(between)
+    np.add.at(expected, (np.broadcast_to(kind[:, None], pair.shape), np.broadcast_to(kind[None, :], pair.shape)), pair)
+    return float(np.log(z)), forward * backward / z, expected

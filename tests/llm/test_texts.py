@@ -149,90 +149,3 @@ def test_paraphrases(spark):
     got = leakage.paraphrases(d, i).collect()
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 5)] and got[0]["lcs"] >= 12 and got[0]["answers"] == 1
     assert leakage.common_run(list("abcde"), list("xbcdy")) == 3
-
-
-# ------------------------------------------------------------ personal information
-@pytest.fixture(scope="module")
-def maker():
-    return pii_train.Maker(99)
-
-
-def test_held_out_accuracy(maker):
-    got = pii_train.accuracy(pii_train.examples(maker, 600), pii.load_weights())
-    for kind, (precision, recall) in got.items():
-        assert precision >= 0.95 and recall >= 0.95, (kind, precision, recall)
-
-
-def spans(text, maker):
-    return [(text[s:e], k) for s, e, k, _ in pii.find(text, maker.gazetteer, pii.load_weights())]
-
-
-@pytest.mark.parametrize(
-    "text,want",
-    [
-        ("mail bob.lind@example.org.", [("bob.lind@example.org", "email")]),
-        ("to bob_1 [at] lab [dot] example now", [("bob_1 [at] lab [dot] example", "email")]),
-        ("x notify=bob%40example.net&level=2", [("bob%40example.net", "email")]),
-        ("pinned kit@12.3.4 and git@node-1:sweeps/1.git", []),
-        ("call +49 (0) 30 23125-749 ext. 12", [("+49 (0) 30 23125-749", "phone")]),
-        ("tel:(617) 555-0123, 10.4.15.154", [("(617) 555-0123", "phone")]),
-        ("SSN 949 07 3103; snapshot 998045367215913172", [("949 07 3103", "identity_number")]),
-        ("ID: IdNr. 08 141 607 463.", [("08 141 607 463", "identity_number")]),
-        ("NINO QQ 27 29 79 D", [("QQ 27 29 79 D", "identity_number")]),
-        ("arrives Apt 4, 860-2 Lowwick Avenue, Unit 6", [("860-2 Lowwick Avenue", "street_address")]),
-        ("an Riedstr. 92 b, Hinterhaus", [("Riedstr. 92 b", "street_address")]),
-        ("au 190 bis place de l'Aubier, 00230", [("190 bis place de l'Aubier", "street_address")]),
-        ("包裹寄往望泽巷329号3楼，收件人沈栩舟。", [("望泽巷329号", "street_address"), ("沈栩舟", "name")]),
-        ("Street View tiles, 15 shards. Road test 3: 692 Square kernels.", []),
-    ],
-)
-def test_notations(text, want, maker):
-    assert spans(text, maker) == want
-
-
-def test_names_in_all_orders(maker):
-    g, f = maker.given_all[3], maker.family_all[4]
-    for name in (f"{g} {f}", f"{f}, {g}", f"{g[0]}. {f}", f"{g} K. {f}", f"{g}-{maker.given_all[5]} {f}", f"{g.upper()} {f.upper()}"):
-        assert spans(f"Dr. {name} said so.", maker) == [(name, "name")], name
-    assert spans(f"the {f} Index needs more, The {f} Sweep beat the {g} branch", maker) == []
-
-
-def test_best_segments_are_the_best(maker):
-    """Against all ways to choose segments without overlap."""
-    from itertools import combinations
-
-    r = random.Random(4)
-    for _ in range(60):
-        proposed = [(s, s + r.randint(1, 6), "name", {"w": 1.0, f"x{i}": 1.0}) for i, s in enumerate(r.choices(range(12), k=7))]
-        weights = {"w": 0.1} | {f"x{i}": r.uniform(-1, 2) for i in range(7)}
-        total = 0.0
-        for n in range(1, 8):
-            for c in combinations(proposed, n):
-                c = sorted(c, key=lambda x: x[:2])
-                if all(a[1] <= b[0] for a, b in zip(c, c[1:])):
-                    total = max(total, sum(pii.score(x[3], weights) for x in c))
-        assert abs(sum(x[3] for x in pii.best_segments(proposed, weights)) - total) < 1e-9
-        z, chance = pii.log_total(proposed, weights)
-        assert z >= total - 1e-9 and all(0 <= p <= 1 + 1e-9 for p in chance)
-
-
-def test_operator_and_masking(spark, maker):
-    rows = [("A", "given")]
-    parts = spark.createDataFrame(rows, "name_part string, part_kind string")
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "write a.b@example.com\nor ring +1 718 555 0134"), (3, "write a.b@example.com\nor ring +1 718 555 0134")], "doc_id bigint, text string")
-    got = sorted(tuple(r) for r in pii.occurrences(docs, parts).collect())
-    assert got == sorted([(3, "email", 6, 21), (3, "phone", 30, 45)] * 2)
-    masked = {r["doc_id"]: r["text"] for r in pii.masked(docs, parts).collect()}
-    assert masked == {1: None, 2: "", 3: "write [EMAIL]\nor ring [PHONE]"}
-    assert pii.occurrences(docs.limit(0), parts.limit(0)).count() == 0
-
-
-def test_very_long_text(maker):
-    text = "a.b@example.com " + "word " * 40000 + "c.d@example.com"
-    assert [k for _, k in spans(text, maker)] == ["email", "email"]
-
-
-def test_training_learns():
-    maker = pii_train.Maker(7)
-    weights = pii_train.fit(pii_train.examples(maker, 300), rounds=3)
-    assert min(min(v) for v in pii_train.accuracy(pii_train.examples(maker, 100), weights).values()) > 0.7
