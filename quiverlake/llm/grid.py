@@ -4,9 +4,9 @@ Vectors are turned into their principal directions, which changes no distance. A
 quantises them: the rows are halved along the direction in which they spread most, again and again, until a
 cell has about ``cell_rows`` rows. (Cells of one fixed width don't work here: at a width of the radius or more
 a few directions put half of all rows into adjacent cells, and many directions give each row hundreds of them.)
-Every row belongs to one cell. It is a guest in each adjacent cell of a smaller number whose box lies within
-the radius of the row. Two linked rows of different cells are so both in the one of the smaller number: no link
-is lost, whatever the number of rows, cells or directions. Cells are counted first; those of a single row, guests
+Every row belongs to one cell. Of two adjacent cells one has guests: the rows of the other within the radius of
+its box. Two linked rows of different cells are so both in one of the two: no link is lost, whatever the number
+of rows, cells or directions. Cells are counted first; those of a single row, guests
 included, have no links and are dropped. In every other cell the links are found exactly, and each of its
 components is named by its smallest index. An item's names in different cells join the components; the minimum
 is propagated over them until nothing changes.
@@ -40,7 +40,7 @@ class Settings:
     most_rows: int = 250_000  # a cell with more rows, guests included, is split
     piece_rows: int = 60_000  # rows of a part of it
     pivots: int = 256  # rows of a split cell that go to all its parts
-    leaf: int = 256  # rows of a block within a cell
+    leaf: int = 512  # rows of a block within a cell
     fine_width: float = 0.6  # cells for the most typical members
     fine_directions: int = 6
     seed: int = 11
@@ -84,7 +84,10 @@ class Quantiser:
         return (x - self.centre) @ self.turn
 
     def place(self, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(home, rows, cells)``: each row's cell, and the pairs of a row and a cell of a smaller number within ``radius`` of it."""
+        """``(home, rows, cells)``: each row's cell, and the pairs of a row and another cell within ``radius`` of it where it is a guest.
+
+        Of two cells with an even sum of their numbers the smaller has the guests, else the larger, so all have about as many.
+        """
         home = np.zeros(len(p), np.int64)
         most = (radius + SLACK * (1 + radius + np.abs(p).max(1, initial=0.0))) ** 2
         rows, cells = [], []
@@ -108,8 +111,8 @@ class Quantiser:
                 keep |= mine
                 stack.append((child, active[keep], far[keep], mine[keep]))
         rows, cells = np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(cells or [np.zeros(0, np.int64)])
-        lower = cells < home[rows]
-        return home, rows[lower], cells[lower]
+        met = (cells < home[rows]) == ((cells + home[rows]) % 2 == 0)
+        return home, rows[met], cells[met]
 
     def fine(self, p: np.ndarray) -> np.ndarray:
         """A 64-bit name of each row's fine cell, of fixed width, for the most typical members."""
@@ -121,10 +124,10 @@ class Quantiser:
         return h.view(np.int64)
 
 
-def components(x: np.ndarray, ids: np.ndarray, radius: float, leaf: int = 256) -> np.ndarray:
+def components(x: np.ndarray, ids: np.ndarray, radius: float, leaf: int = 256, home: np.ndarray | None = None) -> np.ndarray:
     """For each row the smallest id of its component under links of at most ``radius``; exact.
 
-    The rows are halved into blocks with bounding boxes; a block meets only rows within the radius of its box,
+    With ``home`` given, links between two rows that aren't home are left out. The rows are halved into blocks with bounding boxes; a block meets only rows within the radius of its box,
     and none that already belong to the one component of all its rows, so a crowd of like rows costs little.
     """
     n, r2 = len(x), radius * radius
@@ -133,7 +136,9 @@ def components(x: np.ndarray, ids: np.ndarray, radius: float, leaf: int = 256) -
     x = x.astype(np.float64, copy=False)
     centre, turn = principal(x[:: max(1, n // 20_000)])
     p = (x - centre) @ turn
-    blocks, todo = [], [np.arange(n)]
+    blocks: list[np.ndarray] = []
+    todo = [np.arange(n)] if home is None else [np.flatnonzero(~home), np.flatnonzero(home)]  # from the end, so home rows come first
+    asking = n if home is None else int(home.sum())
     while todo:
         rows = todo.pop()
         if len(rows) > leaf:
@@ -157,6 +162,7 @@ def components(x: np.ndarray, ids: np.ndarray, radius: float, leaf: int = 256) -
     kind = np.float32 if single else np.float64
     base = np.column_stack([p, np.ones(n), norms]).astype(kind)  # a squared distance is one product of rows with their norms
     asks = np.column_stack([-2 * p, norms, np.ones(n)]).astype(kind)
+    p, low, high = p.astype(kind), low.astype(kind), high.astype(kind)
     first = min(8, p.shape[1])
     parent = np.arange(n)
 
@@ -178,26 +184,35 @@ def components(x: np.ndarray, ids: np.ndarray, radius: float, leaf: int = 256) -
                 np.minimum.at(parent, b, a)
 
     for i, (begin, end) in enumerate(zip(starts.tolist(), ends.tolist())):
+        if begin >= asking:
+            break
         gap = np.maximum(0, np.maximum(low[i:] - high[i], low[i] - high[i:]))
         near = np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= r2 + slack) + i
-        rows = np.concatenate([np.arange(starts[k], ends[k]) for k in near])
-        away = np.zeros(len(rows))
+        own = np.arange(begin, end)
+        rest = [np.arange(starts[k], ends[k]) for k in near[1:]]
+        rest = np.concatenate(rest) if rest else own[:0]
+        away = np.zeros(len(rest), kind)
         for part in (slice(0, first), slice(first, None)):  # most fail in the widest directions already
-            g = np.maximum(0, np.maximum(p[rows, part] - high[i, part], low[i, part] - p[rows, part]))
-            away += np.einsum("ij,ij->i", g, g)
+            q = p[rest, part]
+            gap = np.maximum(q - high[i, part], low[i, part] - q)
+            np.maximum(gap, 0, out=gap)
+            away += np.einsum("ij,ij->i", gap, gap)
             keep = away <= r2 + slack
-            rows, away = rows[keep], away[keep]
-        own = np.arange(begin, end)
-        for other in (own, rows[rows >= end]):
+            rest, away = rest[keep], away[keep]
+        for other in (own, rest):
             mine = root(own)
             whole = bool((mine == mine[0]).all())
             if whole:
                 other = other[root(other) != mine[0]]
-            for at in range(0, len(other), 8192):
-                some = other[at : at + 8192]
+            for at in range(0, len(other), 2048):
+                some = other[at : at + 2048]
                 d = asks[begin:end] @ base[some].T
                 if other is own:
                     np.fill_diagonal(d, np.inf)
+                few = np.flatnonzero(d.min(0) <= r2 + slack)
+                if not len(few):
+                    continue
+                some, d = some[few], d[:, few]
                 hit = d <= r2 - slack
                 unsure = (d <= r2 + slack) & ~hit
                 if unsure.any():
@@ -220,15 +235,16 @@ def components(x: np.ndarray, ids: np.ndarray, radius: float, leaf: int = 256) -
 
 
 def _link_units(units: DataFrame, dim: int, radius: float, parts: int, leaf: int) -> DataFrame:
-    """``(id, root)`` of the rows that have a link in their unit; a row twice in a unit counts once. Rows: ``unit, id, v``."""
+    """``(id, root)`` of the rows that have a link in their unit; a row twice in a unit counts once, links between guests count elsewhere. Rows: ``unit, id, v, home``."""
 
     def of(unit: list[pa.Table]) -> pa.RecordBatch | None:
         t = pa.concat_tables(unit)
         ids, first = np.unique(t.column("id").to_numpy(), return_index=True)
-        if len(ids) < 2:
+        home = t.column("home").to_numpy()[first]
+        if len(ids) < 2 or not home.any():
             root = ids
         else:
-            root = components(matrix(t.column("v"), dim)[first], ids, radius, leaf)
+            root = components(matrix(t.column("v"), dim)[first], ids, radius, leaf, home)
         keep = np.isin(root, root[root != ids])
         return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(root[keep])], ["id", "root"]) if keep.any() else None
 
@@ -255,7 +271,7 @@ def _link_units(units: DataFrame, dim: int, radius: float, parts: int, leaf: int
         if held and (r := of(held)) is not None:
             yield r
 
-    rows = units.select("unit", "id", "v").repartition(parts, "unit").sortWithinPartitions("unit")
+    rows = units.select("unit", "id", "v", "home").repartitionByRange(parts, "unit").sortWithinPartitions("unit")
     return rows.mapInArrow(run, "id bigint, root bigint")
 
 
@@ -329,7 +345,7 @@ def link(cells: DataFrame, dim: int, radius: float, s: Settings) -> DataFrame:
     counts = cut(main.select(F.explode("cells").alias("unit")).groupBy("unit").count().where("count > 1"), "counts")
     rows, crowded = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum((F.col("count") > s.most_rows).cast("int")), F.lit(0))).head()
     parts = max(int(main.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 300_000))
-    each = main.select("id", "v", F.explode("cells").alias("unit"))
+    each = main.select("id", "v", F.posexplode("cells").alias("at", "unit")).withColumn("home", F.col("at") == 0).drop("at")
     edges = cells.where("copy_of IS NOT NULL").select("id", F.col("copy_of").alias("root"))
     pieces = counts.where(F.col("count") > s.most_rows).select("unit", F.ceil(F.col("count") / s.piece_rows).cast("int").alias("pieces"))
     if not crowded:
@@ -355,7 +371,7 @@ def _link_crowded(split: DataFrame, dim: int, radius: float, parts: int, s: Sett
 
     def units(rows: DataFrame, everywhere) -> DataFrame:
         place = F.explode(F.when(everywhere, all_pieces).otherwise(F.array("piece")))
-        return rows.select("unit", "id", "v", place.alias("place")).select(F.xxhash64("unit", "place").alias("unit"), "id", "v")
+        return rows.select("unit", "id", "v", place.alias("place")).select(F.xxhash64("unit", "place").alias("unit"), "id", "v", F.lit(True).alias("home"))
 
     first = cut(_link_units(units(dealt, F.col("pivot")), dim, radius, parts, s.leaf), "pieces")
     labels = propagate(first)
@@ -366,7 +382,7 @@ def _link_crowded(split: DataFrame, dim: int, radius: float, parts: int, s: Sett
     few = units(known.where("NOT many"), F.col("apart"))
     half = known.where("many").select("unit", "id", "v", (F.col("pieces") * 2).alias("pieces")).withColumn("a", F.pmod(F.xxhash64("unit", "id"), F.col("pieces")).cast("int"))
     pairs = half.select("unit", "id", "v", "a", F.explode(all_pieces).alias("b"))
-    pairs = pairs.select(F.xxhash64("unit", F.least("a", "b"), F.greatest("a", "b")).alias("unit"), "id", "v")
+    pairs = pairs.select(F.xxhash64("unit", F.least("a", "b"), F.greatest("a", "b")).alias("unit"), "id", "v", F.lit(True).alias("home"))
     return first.unionByName(_link_units(few.unionByName(pairs), dim, radius, parts, s.leaf))
 
 
