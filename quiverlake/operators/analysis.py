@@ -90,6 +90,11 @@ def heatmap(runs: DataFrame, probes: Sequence[int], value: str = "recall") -> Da
     return runs.groupBy("kmeans_iter", "num_centroids").pivot("nprobe", list(probes)).agg(F.avg(value))
 
 
+def heatmap_cells(runs: DataFrame, value: str = "recall") -> DataFrame:
+    """``(kmeans_iter, num_centroids, nprobe, mean, n)``: the heat map's cells, a row each, for all probe numbers there are."""
+    return runs.groupBy("kmeans_iter", "num_centroids", "nprobe").agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+
+
 def box(runs: DataFrame, by: str = "kmeans_iter", value: str = "recall") -> DataFrame:
     """Quartiles, extremes and number of ``value`` by group."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

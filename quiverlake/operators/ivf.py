@@ -133,16 +133,21 @@ class IvfIndex:
 
         return rows.select("cid", "vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, probe_rank int, dist_sq double")
 
-    def _by_cell(self, asked: DataFrame, k: int, nprobe: int, piece: int = 50_000) -> DataFrame:
-        """Lists and probes meet by cell; a long list is split into pieces, each with its own best rows."""
+    def _by_cell(self, asked: DataFrame, k: int, nprobe: int, piece: int = 50_000, query_piece: int = 4096) -> DataFrame:
+        """Lists and probes meet by cell; a long list is split into pieces, each with its own best rows, and the queries of a popular cell into parts of about ``query_piece``, which the list's pieces all meet."""
         spark = asked.sparkSession
         dim = self.centroids.shape[1]
         pieces = np.ones(len(self.centroids), np.int64)
         for c, n in self.sizes.items():
             pieces[c] = max(1, -(-n // piece))
-        of = spark.createDataFrame([(i, int(p)) for i, p in enumerate(pieces)], "cid int, pieces int")  # one row a cell
-        stored = self.lists.join(F.broadcast(of), "cid").select("cid", F.pmod(F.xxhash64("vec_id"), "pieces").cast("int").alias("piece"), "vec_id", "embedding")
-        wanted = self.probe(asked, nprobe).join(asked, "query_id").join(F.broadcast(of), "cid").select("cid", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "query_id", "qv", "probe_rank")
+        probes = self.probe(asked, nprobe)
+        parts = np.ones(len(self.centroids), np.int64)
+        for r in probes.groupBy("cid").count().collect():  # one row a cell
+            parts[r["cid"]] = max(1, -(-r["count"] // query_piece))
+        of = spark.createDataFrame([(i, int(p), int(t)) for i, (p, t) in enumerate(zip(pieces, parts))], "cid int, pieces int, parts int")  # one row a cell
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        stored = self.lists.join(F.broadcast(of), "cid").select("cid", F.pmod(F.xxhash64("vec_id"), "pieces").cast("int").alias("piece"), every("parts").alias("part"), "vec_id", "embedding")
+        wanted = probes.join(asked, "query_id").join(F.broadcast(of), "cid").select("cid", every("pieces").alias("piece"), F.pmod(F.xxhash64("query_id"), "parts").cast("int").alias("part"), "query_id", "qv", "probe_rank")
 
         def search(a: pa.Table, b: pa.Table) -> pa.Table:
             block = Block(b.column("query_id").to_numpy(), matrix(b.column("qv"), dim), k, "l2", False)
@@ -151,7 +156,7 @@ class IvfIndex:
             r, col = np.nonzero(np.isfinite(block.best))
             return pa.Table.from_batches([_batch(block, r, col, b.column("probe_rank").to_numpy()[r])])
 
-        return stored.groupBy("cid", "piece").cogroup(wanted.groupBy("cid", "piece")).applyInArrow(search, "query_id bigint, vec_id bigint, probe_rank int, dist_sq double")
+        return stored.groupBy("cid", "piece", "part").cogroup(wanted.groupBy("cid", "piece", "part")).applyInArrow(search, "query_id bigint, vec_id bigint, probe_rank int, dist_sq double")
 
     def search(self, queries: DataFrame, k: int = 10, nprobe: int = 37) -> DataFrame:
         """``(query_id, vec_id, rank, dist_sq, dist)``: the ``k`` best rows of the ``nprobe`` nearest cells, exact within them.
@@ -163,17 +168,14 @@ class IvfIndex:
         found = self.candidates(queries, k, nprobe).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         return found.select("query_id", "vec_id", "rank", "dist_sq", F.sqrt("dist_sq").alias("dist"))
 
-    def lower_bounds(self, queries: DataFrame) -> DataFrame:
-        """``(query_id, vec_id, bound_sq, dist_sq)``: the valid bound (|q-c| - |x-c|)^2 of each row in a query's nearest cell, with its distance."""
+    def lower_bounds(self, queries: DataFrame, nprobe: int = 1) -> DataFrame:
+        """``(query_id, vec_id, bound_sq, dist_sq)``: the valid bound (|q-c| - |x-c|)^2 of each row in a query's ``nprobe`` nearest cells, with its distance; all rows where ``nprobe`` is the number of cells."""
         from quiverlake.functions.vectors import l2sq
 
-        near = self.probe(queries, 1).join(queries.select("query_id", "qv"), "query_id")
+        near = self.probe(queries, nprobe).join(queries.select("query_id", "qv"), "query_id")
         bound = F.pow(F.sqrt("dc") - F.sqrt("d2c"), 2)
         return near.join(self.lists, "cid").select("query_id", "vec_id", bound.alias("bound_sq"), l2sq("qv", "embedding").alias("dist_sq"))
 
 
 def _batch(block: Block, r: np.ndarray, col: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(block.ids[r]), pa.array(block.best_id[r, col]), pa.array(rank.astype(np.int32)), pa.array(block.best[r, col])], ["query_id", "vec_id", "probe_rank", "dist_sq"])
-
-
-

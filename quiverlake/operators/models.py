@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FEATURES = ("num_centroids", "nprobe", "kmeans_iter")
@@ -34,7 +34,7 @@ def least_squares(rows: DataFrame, terms: list[Column], target: Column) -> np.nd
 
 
 def time_terms(n: int) -> list[Column]:
-    c, p = F.col("num_centroids"), F.col("nprobe")
+    c, p = F.col("num_centroids").cast("double"), F.col("nprobe").cast("double")
     return [p * F.log(c), p * n / c, F.lit(1.0)]
 
 
@@ -170,6 +170,16 @@ def surrogate_search(time_of, recall_of, grid: DataFrame, least_recall: float =
     return kept.orderBy("time_pred", "num_centroids", "nprobe").limit(n)
 
 
+def search_summary(predicted: DataFrame, least_recall: float = 0.98, n: int = 20) -> DataFrame:
+    """``(place, num_centroids, nprobe, kmeans_iter, time_pred, recall_pred, found, least_time, mean_time)``: the ``n`` fastest configurations
+    of at least the predicted recall, each beside the number, least and mean time of all of them; no row where there is none."""
+    kept = predicted.where(F.col("recall_pred") >= least_recall)
+    every = kept.agg(F.count("*").alias("found"), F.min("time_pred").alias("least_time"), F.avg("time_pred").alias("mean_time"))
+    fastest = kept.orderBy("time_pred", "num_centroids", "nprobe").limit(n)
+    place = F.row_number().over(Window.orderBy("time_pred", "num_centroids", "nprobe"))  # over n rows
+    return fastest.withColumn("place", place).join(F.broadcast(every)).select("place", *FEATURES, "time_pred", "recall_pred", "found", "least_time", "mean_time")
+
+
 def cold_start(n: int, d: int) -> tuple[int, int, int]:
     """(C, I, P) to begin with for ``n`` points of ``d`` components."""
     c = math.floor(n**0.55 * d**0.1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -38,14 +39,15 @@ def neighbours(configs: DataFrame, jitter_seed: int | None = None) -> DataFrame:
     """``(num_centroids, nprobe, n, c, p)``: the eight configurations around each, numbered, inside the bounds.
 
     Steps are a tenth of the cells (32 at least) and an eighth of the probes (4 at least), alone and together.
-    With a seed, four random single steps follow as 9 to 12.
+    With a seed, four random single steps follow as 9 to 12: 32 to 95 cells, 4 to 11 probes, by the hash of seed and configuration.
     """
     c, p = F.col("num_centroids"), F.col("nprobe")
     dc = F.greatest(F.floor(c / 10), F.lit(32)).cast("int")
     dp = F.greatest(F.floor(p / 8), F.lit(4)).cast("int")
     around = [(dc, 0), (-dc, 0), (0, dp), (0, -dp), (dc, dp), (dc, -dp), (-dc, dp), (-dc, -dp)]
     if jitter_seed is not None:
-        draw = lambda salt, span, low: F.pmod(F.xxhash64(c, p, F.lit(jitter_seed), F.lit(salt)), F.lit(span)).cast("int") + low
+        named = lambda salt: F.concat_ws(":", F.lit(jitter_seed), F.lit(salt), c, p)
+        draw = lambda salt, span, low: (F.conv(F.substring(F.md5(named(salt)), 1, 8), 16, 10).cast("bigint") % span).cast("int") + low
         rc, rp = draw(1, 64, 32), draw(2, 8, 4)
         around += [(rc, 0), (-rc, 0), (0, rp), (0, -rp)]
     each = F.array(*(F.struct(F.lit(n).alias("n"), (c + a).cast("int").alias("c"), (p + b).cast("int").alias("p")) for n, (a, b) in enumerate(around, 1)))
@@ -129,42 +131,58 @@ def hill_climb(measure: Measure, c: int = 2564, p: int = 42, i: int = 16, target
 class Adaptive:
     """A greedy search with relative steps that grow with success and shrink with failure."""
 
+    # Bounds, first, least and largest relative steps.
     bounds: dict[str, tuple[int, int]] = field(default_factory=lambda: {"c": (64, 16384), "p": (1, 2048), "i": (1, 32)})
     size: dict[str, float] = field(default_factory=lambda: {"c": 0.05, "p": 0.15, "i": 0.05})
     low: dict[str, float] = field(default_factory=lambda: {"c": 0.01, "p": 0.02, "i": 0.01})
     high: dict[str, float] = field(default_factory=lambda: {"c": 0.3, "p": 0.4, "i": 0.2})
     seed: int = 0
-    failures: int = 0
+    failures: int = 0  # moves in a row that gained little
+    gains: list[float] = field(default_factory=list)  # relative gains of the last ten moves
+
+    def _step(self, k: str, widen: float) -> float:
+        """The relative step of a parameter now: shorter after many poor moves, longer after a good one."""
+        size = min(self.size[k] * widen, self.high[k])
+        if self.failures > 3:
+            return max(size * 0.8, self.low[k])
+        return min(size * 1.1, self.high[k]) if self.gains and not self.failures else size
 
     def near(self, at: dict[str, int], widen: float = 1.0) -> list[dict[str, int]]:
-        out = {}
+        """Each parameter alone one step up and down, and where these are fewer than eight, up to three mixed steps of cells and probes."""
+        out: dict[tuple, dict[str, int]] = {}
+
+        def offer(**new: int) -> None:
+            x = at | {k: min(max(v, self.bounds[k][0]), self.bounds[k][1]) for k, v in new.items()}
+            if x != at:
+                out[tuple(sorted(x.items()))] = x
+
         for k in at:
-            step = min(self.size[k] * widen, self.high[k])
+            step = self._step(k, widen)
             for way in (1, -1):
-                v = at[k] + way * max(1, int(at[k] * step))
-                v = min(max(v, self.bounds[k][0]), self.bounds[k][1])
-                if v != at[k]:
-                    out[tuple(sorted((at | {k: v}).items()))] = at | {k: v}
-        r = random.Random(self.seed + len(out) + at["c"])
-        while len(out) < 8:
-            mixed = dict(at)
-            for k in ("c", "p"):
-                v = int(at[k] * (1 + r.choice((1, -1)) * self.size[k] * (0.5 + r.random())))
-                mixed[k] = min(max(v, self.bounds[k][0]), self.bounds[k][1])
-            before = len(out)
-            if mixed != at:
-                out[tuple(sorted(mixed.items()))] = mixed
-            if len(out) == before:
-                break
+                offer(**{k: at[k] + way * max(1, int(at[k] * step)) if k == "i" else int(at[k] * (1 + way * step))})
+        if len(out) < 8:
+            r = random.Random(self.seed + len(self.gains) + at["c"])
+            for _ in range(3):
+                offer(**{k: int(at[k] * (1 + r.choice((1, -1)) * self.size[k] * (0.5 + r.random()))) for k in ("c", "p")})
         return list(out.values())
 
-    def learn(self, better: bool) -> None:
-        self.failures = 0 if better else self.failures + 1
+    def learn(self, gain: float) -> None:
+        """After a move with a relative gain: steps grow by a twentieth if it is over a hundredth, else they shrink by a tenth."""
+        self.gains = [*self.gains, gain][-10:]
+        good = gain > 0.01
+        self.failures = 0 if good else self.failures + 1
         for k in self.size:
-            self.size[k] = min(self.size[k] * 1.05, self.high[k]) if better else max(self.size[k] * 0.9, self.low[k])
+            self.size[k] = min(self.size[k] * 1.05, self.high[k]) if good else max(self.size[k] * 0.9, self.low[k])
+
+    def converged(self) -> bool:
+        return self.failures >= 5 and all(self.size[k] <= self.low[k] * 1.1 for k in self.size)
 
     def search(self, measure: Measure, start: dict[str, int], target: float = TARGET, rounds: int = 30) -> list[tuple[dict[str, int], float]]:
-        """The configurations gone through with their scores, each better than the one before."""
+        """The configurations gone through with their scores, each better than the one before.
+
+        A round tries all near configurations at once; without a better one it tries steps half as long again,
+        and without one there the search ends, as it does when all steps have shrunk to the least.
+        """
 
         def scores(configs: list[dict[str, int]]) -> list[tuple[float, dict[str, int]]]:
             got = measure([(x["c"], x["i"], x["p"]) for x in configs])
@@ -182,16 +200,28 @@ class Adaptive:
         best, at = first[0]
         path = [(at, best)]
         for _ in range(rounds):
-            for widen in (1.0, 1.5):
+            found = None
+            for widen in (1.0, 1.5) if self.failures < 5 else (1.0,):
                 found = max(scores(self.near(at, widen)), key=lambda s: s[0], default=None)
                 if found and found[0] > best + 1e-6:
+                    if widen == 1.0:
+                        self.learn((found[0] - best) / (abs(best) + 1e-6))
                     break
                 found = None
-            self.learn(found is not None)
             if found is None:
-                if self.failures >= 5 or all(self.size[k] <= self.low[k] * 1.1 for k in self.size):
-                    break
-                continue
+                break
             best, at = found
             path.append((at, best))
+            if self.converged():
+                break
         return path
+
+
+def from_models(time_of: tuple[float, float, float], theta: float, points: int) -> Measure:
+    """Configurations by fitted models: T = a P ln C + b P N / C + d and R = 1 - (1 - P/C)^theta."""
+    a, b, d = time_of
+
+    def measure(configs: list[tuple[int, int, int]]) -> dict:
+        return {(c, i, p): (1 - (1 - min(p / c, 1.0)) ** theta, max(a * p * math.log(c) + b * p * points / c + d, 0.0)) for c, i, p in configs}
+
+    return measure

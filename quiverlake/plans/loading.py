@@ -98,7 +98,15 @@ every AS (SELECT s, r, 'renamed' AS change_kind, old_field, new_field FROM renam
  UNION ALL SELECT s, r, 'retyped', path, path FROM now WHERE was IS NOT NULL AND before <> t)
 SELECT s AS series_name, f.q::INT AS file_seq, change_kind, old_field, new_field FROM every JOIN f USING (s, r)"""
 
+# as _LINES, with the id and the components of lines that parse
+_LOADED = (
+    _LINES.replace("SELECT line_id, file_dim,", "SELECT line_id, src_file, line_idx, file_dim,", 1)
+    + rf""", w AS (SELECT *, CASE WHEN quoted THEN replace(regexp_extract(x, '^{_WS}*"(([^"]|"")*)"', 1), '""', '"') WHEN NOT num[1] THEN ts[1] END AS id, CASE WHEN NOT quoted AND NOT num[1] THEN ts[2:] ELSE ts END AS fs FROM r WHERE reason IS NULL)
+SELECT line_id, src_file, line_idx, id, list_transform(fs, lambda t: CASE WHEN regexp_matches(t, '(?i)nan') THEN 'nan'::DOUBLE WHEN regexp_matches(t, '(?i)inf') THEN (CASE WHEN t[1] = '-' THEN '-inf' ELSE 'inf' END)::DOUBLE ELSE TRY_CAST(t AS DOUBLE) END) AS v FROM w"""
+)
+
 SQL = {
+    "p1_loaded": _LOADED,
     "p1_found": _LINES + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
     "p2_found": _CHANGES,
 }

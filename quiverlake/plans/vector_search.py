@@ -5,16 +5,19 @@ The query set of searches is every row whose id is divisible by 50.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverlake.functions import vectors as V
 from quiverlake.operators import graph, kmeans, knn, recall, sweep
 from quiverlake.operators.ivf import IvfIndex
-from quiverlake.session import table
+from quiverlake.session import shared_dir, table
 from quiverlake.sources import ground_truth, vector_text
 
-K, CELLS, ROUNDS, PROBES, SEED = 10, 16, 4, 4, 42
+K, CELLS, ROUNDS, PROBES, SEED = 10, 16, 4, 12, 42  # 12 probes: recall of 0.9 and more
+LONG_K = 200  # more than most cells hold, so that lists run short
 GRID_CELLS, GRID_ROUNDS, GRID_PROBES = [8, 16, 32], [1, 2, 4], [1, 2, 4, 8]
 
 
@@ -75,6 +78,24 @@ def flat_reshape(spark: SparkSession, d: str) -> DataFrame:
     return out.select("flat_id", "vec_id", F.size("embedding").alias("dim"), (F.round(F.aggregate(V.doubles("embedding"), F.lit(0.0), lambda a, x: a + x), 6) + F.lit(0.0)).alias("total"))
 
 
+def text_scan_file(spark: SparkSession, d: str) -> DataFrame:
+    """The raw lines written as text files, one a source, and scanned again: each file's lines and their numbers."""
+    lines = table(spark, d, "vec_lines").where("raw_text IS NOT NULL").select("src_file", F.translate("raw_text", "\r\n", "  ").alias("value"))
+    path = f"{shared_dir(spark)}/ql-base-{uuid.uuid4().hex}"
+    lines.repartition("src_file").write.partitionBy("src_file").text(path)
+    found = vector_text.read_lines(spark, f"{path}/*/*").groupBy(F.regexp_extract("file", "src_file=([^/]+)/", 1).alias("src_file"))
+    return found.agg(F.count("*").alias("n"), F.countDistinct("line_idx").alias("numbers"), F.max("line_idx").alias("last"))
+
+
+def cache_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as text, scanned, cached as Parquet and read again, equal to the table's."""
+    path = f"{shared_dir(spark)}/ql-text-{uuid.uuid4().hex}"
+    _rendered(points(spark, d), F.concat(F.lit("w"), F.col("vec_id").cast("string"), F.lit(" "))).select("line").write.text(path)
+    found = vector_text.write_cache(vector_text.read_vectors(spark, f"{path}/*.txt"), f"{path}.cache")
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return found.select("id", F.size("vec").alias("dim"), (F.round(total, 6) + F.lit(0.0)).alias("total"))
+
+
 def gt_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     found = knn.knn_join(asked(points(spark, d)), points(spark, d), K)
     doc = ground_truth.document(ground_truth.to_results(found), "embeddings", "l2", K)
@@ -128,7 +149,9 @@ def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knn_max_base(spark: SparkSession, d: str) -> DataFrame:
-    return knn.knn_join(asked(points(spark, d)), points(spark, d), K, max_base=120).select("query_id", "vec_id", "rank", r6("dist"))
+    """The limit is half of the table's rows."""
+    p = points(spark, d)
+    return knn.knn_join(asked(p), p, K, max_base=p.count() // 2).select("query_id", "vec_id", "rank", r6("dist"))
 
 
 def knn_global_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -138,8 +161,9 @@ def knn_global_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knn_padded(spark: SparkSession, d: str) -> DataFrame:
+    """Searches of one cell for more rows than most cells hold, filled up with -1."""
     q = asked(points(spark, d))
-    ids = knn.padded(knn.knn_join(q, points(spark, d).where("vec_id < 7"), K), q, K)
+    ids = knn.padded(_index(spark, d).search(q, LONG_K, 1), q, LONG_K)
     return ids.select("query_id", F.posexplode("ids").alias("place", "vec_id"))
 
 
@@ -216,9 +240,10 @@ def ivf_search_full_probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ivf_lower_bound(spark: SparkSession, d: str) -> DataFrame:
-    """For how many rows of the queries' nearest cells the bound holds."""
-    both = _index(spark, d).lower_bounds(asked(points(spark, d)))
-    return both.agg(F.count("*").alias("n"), F.count(F.when(F.col("bound_sq") <= F.col("dist_sq") + 1e-9, 1)).alias("holds"))
+    """For how many of all pairs of a query and a row the bound holds, and the sums of bounds and distances."""
+    both = _index(spark, d).lower_bounds(asked(points(spark, d)), CELLS)
+    holds = F.count(F.when(F.col("bound_sq") <= F.col("dist_sq") + 1e-9, 1)).alias("holds")
+    return both.agg(F.count("*").alias("n"), holds, F.sum("bound_sq").alias("bounds"), F.sum("dist_sq").alias("dists")).select("n", "holds", F.round("bounds", 4).alias("bounds"), F.round("dists", 4).alias("dists"))
 
 
 def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -247,7 +272,7 @@ def runs_grid(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        vec_scan_dims, parse_line_noid, parse_line_with_id, parse_line_reject, dim_filter, flat_reshape, gt_json_roundtrip,
+        vec_scan_dims, parse_line_noid, parse_line_with_id, parse_line_reject, dim_filter, flat_reshape, text_scan_file, cache_roundtrip, gt_json_roundtrip,
         dist_l2sq, dist_l2, dist_cosine, dist_zero_norm, dist_truncated_len, vec_norm,
         sample_queries, knn_l2, knn_cosine, knn_max_base, knn_global_topk, knn_padded, knn_graph, knn_graph_symmetric, graph_levels, beam_search,
         kmeans_init, kmeans_assign, kmeans_update, kmeans_fit_i4, kmeans_inertia, ivf_lists, ivf_list_sizes, ivf_probe, ivf_search, ivf_search_full_probe, ivf_lower_bound,
@@ -292,8 +317,8 @@ _IVF = [*_lloyd(CELLS, ROUNDS), _assigned("lists", f"c{ROUNDS}")]
 _PROBE = f"probe AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dc, cid) AS pr FROM (SELECT query_id, qv, cid, {_d2('qv', 'cv')} AS dc FROM q, c{ROUNDS}))"
 
 
-def _found(p: int) -> str:
-    return f"found AS MATERIALIZED (SELECT query_id, vec_id, d2, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS r FROM (SELECT query_id, vec_id, {_d2('qv', 'v')} AS d2 FROM probe JOIN lists USING (cid) WHERE pr <= {p}) QUALIFY r <= {K})"
+def _found(p: int, k: int = K) -> str:
+    return f"found AS MATERIALIZED (SELECT query_id, vec_id, d2, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS r FROM (SELECT query_id, vec_id, {_d2('qv', 'v')} AS d2 FROM probe JOIN lists USING (cid) WHERE pr <= {p}) QUALIFY r <= {k})"
 
 
 _TRUTH = f"truth AS MATERIALIZED ({_ranked()})"
@@ -339,6 +364,8 @@ a AS (SELECT doc_id, k, k > 0 AND list_bool_and(num) AS whole, k > 1 AND list_bo
 SELECT doc_id, coalesce(whole OR named, false) AS accepted, (CASE WHEN whole THEN k WHEN named THEN k - 1 ELSE 0 END)::INT AS dim FROM a""",
     "dim_filter": "SELECT dataset, count(*) AS n, count(DISTINCT vec_index) AS items FROM vec_items WHERE len(v) = 48 GROUP BY dataset",
     "flat_reshape": _with() + "SELECT vec_id AS flat_id, i AS vec_id, 15::INT AS dim, round(list_sum(v[i * 15 + 1 : i * 15 + 15]), 6) + 0.0 AS total FROM e, range(4) r(i)",
+    "text_scan_file": "SELECT src_file, count(*) AS n, count(*) AS numbers, count(*) - 1 AS last FROM vec_lines WHERE raw_text IS NOT NULL GROUP BY 1",
+    "cache_roundtrip": _with() + "SELECT 'w' || vec_id AS id, len(v)::INT AS dim, round(list_sum(v), 6) + 0.0 AS total FROM e",
     "gt_json_roundtrip": _with() + f"SELECT 'embeddings' AS dataset, 'l2' AS metric, query_id, vec_id, r::INT AS rank, round(sqrt(d2), 6) AS dist FROM ({_ranked()})",
     "dist_l2sq": _with() + f"SELECT vec_id, round({_d2('v', 'w')}, 6) AS dist FROM ({_NEXT})",
     "dist_l2": _with() + f"SELECT vec_id, round(list_distance(v, w), 6) AS dist FROM ({_NEXT})",
@@ -349,9 +376,9 @@ SELECT doc_id, coalesce(whole OR named, false) AS accepted, (CASE WHEN whole THE
     "sample_queries": "SELECT vec_id AS query_id FROM embeddings ORDER BY md5('1:' || vec_id), vec_id LIMIT 25",
     "knn_l2": _with() + f"SELECT query_id, vec_id, r::INT AS rank, round(sqrt(d2), 6) AS dist, round(d2, 6) AS dist_sq FROM ({_ranked()})",
     "knn_cosine": "WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 7)) AS v FROM embeddings), d AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_distance(a.v, b.v) AS d FROM e a, e b WHERE a.vec_id % 50 = 0) SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id))::INT AS rank, greatest(round(d, 6), 0.0) AS dist FROM d QUALIFY rank <= 10",
-    "knn_max_base": _with() + f"SELECT query_id, vec_id, r::INT AS rank, round(sqrt(d2), 6) AS dist FROM ({_ranked(where='vec_id < 120')})",
+    "knn_max_base": _with() + f"SELECT query_id, vec_id, r::INT AS rank, round(sqrt(d2), 6) AS dist FROM ({_ranked(where='vec_id < (SELECT count(*) // 2 FROM e)')})",
     "knn_global_topk": _with() + f"SELECT query_id, vec_id, round(sqrt(d2), 6) AS dist FROM ({_ranked(where='vec_id <> query_id')}) ORDER BY d2, query_id, vec_id LIMIT 20",
-    "knn_padded": _with() + f"SELECT query_id, place::INT AS place, coalesce(n.vec_id, -1) AS vec_id FROM (SELECT query_id, place FROM q, range({K}) p(place)) LEFT JOIN (SELECT query_id, r - 1 AS place, vec_id FROM ({_ranked(where='vec_id < 7')})) n USING (query_id, place)",
+    "knn_padded": _with(*_IVF, _PROBE, _found(1, LONG_K)) + f"SELECT query_id, place::INT AS place, coalesce(n.vec_id, -1) AS vec_id FROM (SELECT query_id, place FROM q, range({LONG_K}) p(place)) LEFT JOIN (SELECT query_id, r - 1 AS place, vec_id FROM found) n USING (query_id, place)",
     "knn_graph": "WITH e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.v, b.v) AS d FROM e a, e b WHERE a.vec_id <> b.vec_id) SELECT src, dst, round(d * d, 6) AS dist_sq FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) <= 8",
     "knn_graph_symmetric": "WITH e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.v, b.v) AS d FROM e a, e b WHERE a.vec_id <> b.vec_id), g AS (SELECT src, dst FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) <= 8) SELECT src, dst FROM g UNION SELECT dst, src FROM g",
     "graph_levels": "SELECT least(greatest(floor(-ln((CAST('0x' || substr(md5('42:' || vec_id), 1, 13) AS BIGINT) + 1) / 4503599627370496.0) / ln(10.0)), 0), 100)::INT AS level, count(*) AS n FROM embeddings GROUP BY 1",
@@ -365,7 +392,7 @@ SELECT doc_id, coalesce(whole OR named, false) AS accepted, (CASE WHEN whole THE
     "ivf_probe": _with(*_IVF, _PROBE) + f"SELECT query_id, cid::INT AS cid, pr::INT AS probe_rank, round(dc, 6) AS dc FROM probe WHERE pr <= {PROBES}",
     "ivf_search": _with(*_IVF, _PROBE, _found(PROBES)) + "SELECT query_id, vec_id, r::INT AS rank, round(d2, 6) AS dist_sq FROM found",
     "ivf_search_full_probe": _with() + f"SELECT query_id, vec_id, r::INT AS rank, round(d2, 6) AS dist_sq FROM ({_ranked()})",
-    "ivf_lower_bound": _with(*_IVF, _PROBE) + "SELECT count(*) AS n, count(*) AS holds FROM probe JOIN lists USING (cid) WHERE pr = 1",
+    "ivf_lower_bound": _with(*_IVF, _PROBE) + f", b AS (SELECT pow(sqrt(dc) - sqrt(d2), 2) AS b2, {_d2('qv', 'v')} AS x2 FROM probe JOIN lists USING (cid)) SELECT count(*) AS n, count(*) FILTER (WHERE b2 <= x2 + 1e-9) AS holds, round(sum(b2), 4) AS bounds, round(sum(x2), 4) AS dists FROM b",
     "recall_per_query": _with(*_IVF, _PROBE, _found(PROBES), _TRUTH, _PER_QUERY) + "SELECT query_id, hits, round(recall, 6) AS recall FROM per",
     "recall_mean": _with(*_IVF, _PROBE, _found(PROBES), _TRUTH, _PER_QUERY) + "SELECT count(*) AS queries, round(avg(recall), 6) AS mean_recall, round(min(recall), 6) AS min_recall FROM per",
     "recall_curve_nprobe": _with(_TRUTH, *_IVF, *_curve("", CELLS, "lists", f"c{ROUNDS}", [1, 2, 4, 8, 16])) + "SELECT nprobe::INT AS nprobe, round(recall, 6) AS recall, round(cost, 6) AS cost FROM curve",

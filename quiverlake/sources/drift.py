@@ -199,10 +199,11 @@ def changes(records: DataFrame, series: str = "series_name", order: str = "file_
     kind = F.when(n == 0, None).when((n == 2) & (F.col("f_integer") == 1) & (F.col("f_double") == 1), "double").when(n > 1, "string")
     for k in KINDS:
         kind = kind.when(F.col(f"f_{k}") == 1, k)
+    # the files' order first, over one narrow row a file; then the paths are ranked within their own series and path
+    files = per_file.where("path IS NULL").select("s", "q")
     by_series = Window.partitionBy("s").orderBy("q")
-    ranked = per_file.select("s", "q", "path", kind.alias("kind"), F.dense_rank().over(by_series).alias("r"))
-    after = Window.partitionBy("s").orderBy("r").rangeBetween(1, 1)
-    ranked = ranked.withColumn("next_q", F.min("q").over(after)).where("path IS NOT NULL")
+    files = files.select(F.col("s").alias("_s"), F.col("q").alias("_q"), F.row_number().over(by_series).alias("r"), F.lead("q").over(by_series).alias("next_q"))
+    ranked = per_file.where("path IS NOT NULL").select("s", "q", "path", kind.alias("kind")).join(files, F.col("s").eqNullSafe(F.col("_s")) & (F.col("q") == F.col("_q"))).drop("_s", "_q")
     by_path = Window.partitionBy("s", "path").orderBy("r")
     ranked = ranked.withColumn("stay", F.col("r") - F.row_number().over(by_path))
     stay = Window.partitionBy("s", "path", "stay").orderBy("r")
