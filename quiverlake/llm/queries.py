@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quiverlake.llm import grid, leakage, neighbours, pii, sample, tokens
 from quiverlake.session import table
@@ -41,7 +42,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_heaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest other items of every item whose index is divisible by 50, however far."""
     items = table(spark, sf_dir, "vec_items", spread=True)
-    return neighbours.knn(items.where("vec_index % 50 = 0"), items, 10, DIM, settings=neighbours.Settings(relax=0.5))
+    found = neighbours.knn(items.where("vec_index % 50 = 0"), items, 10, DIM, settings=neighbours.Settings(relax=1.0))
+    return found.select("query_id", "base_id", F.round("dist_sq", 6).alias("dist_sq"), "rank")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +97,18 @@ _SQL = {
 WITH items AS (SELECT DISTINCT vec_index FROM vec_items WHERE {_USABLE}),
 keys AS (SELECT vec_index, CAST('0x' || substr(md5('{SAMPLE_SEED}:' || vec_index), 1, 15) AS BIGINT) AS sample_key FROM items)
 SELECT vec_index, sample_key FROM keys ORDER BY sample_key, vec_index LIMIT {SAMPLE_SIZE}""",
+    "p4_items": f"""
+WITH items AS (SELECT vec_index, any_value(v) AS v FROM vec_items WHERE {_USABLE} GROUP BY vec_index)
+SELECT vec_index, v FROM items ORDER BY CAST('0x' || substr(md5('{SAMPLE_SEED}:' || vec_index), 1, 15) AS BIGINT), vec_index LIMIT {SAMPLE_SIZE}""",
+    "p5_heaps": f"""
+WITH i AS MATERIALIZED (SELECT vec_index, any_value(v)::DOUBLE[] AS v FROM vec_items WHERE {_USABLE} GROUP BY vec_index),
+d AS (SELECT a.vec_index AS query_id, b.vec_index AS base_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM i a, i b WHERE a.vec_index % 50 = 0 AND a.vec_index <> b.vec_index)
+SELECT query_id, base_id, round(d2, 6) AS dist_sq, (row_number() OVER (PARTITION BY query_id ORDER BY d2, base_id))::INT AS rank FROM d QUALIFY rank <= 10""",
     "p3_found": _components_sql(),
     "p5_found": f"""
 WITH i AS MATERIALIZED (SELECT vec_index, any_value(v)::DOUBLE[] AS v FROM vec_items WHERE {_USABLE} GROUP BY vec_index),
-n AS MATERIALIZED (SELECT a.vec_index AS a, b.vec_index AS b, list_distance(a.v, b.v) AS d FROM i a, i b WHERE a.vec_index <> b.vec_index AND d <= 2.5 QUALIFY row_number() OVER (PARTITION BY a.vec_index ORDER BY d, b.vec_index) <= 10)
+p AS MATERIALIZED (SELECT a.vec_index AS a, b.vec_index AS b, list_distance(a.v, b.v) AS d FROM i a JOIN i b ON a.vec_index < b.vec_index AND abs(a.v[1] - b.v[1]) <= 2.5 WHERE d <= 2.5),
+n AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, d FROM p UNION ALL SELECT b, a, d FROM p) QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 10)
 SELECT x.a AS index_a, x.b AS index_b FROM n x JOIN n y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
