@@ -94,6 +94,30 @@ def test_climbers_improve():
     assert tune.hill_climb(lambda x: {}, 1, 1) == [] and tune.Adaptive().search(lambda x: {}, {"c": 100, "p": 1, "i": 1}) == []
 
 
+def test_adaptive_steps_and_stops():
+    """Gains over a hundredth lengthen the steps, others shorten them; the search stops at the least steps or without a better neighbour."""
+    a = tune.Adaptive()
+    a.learn(0.5)
+    assert a.failures == 0 and math.isclose(a.size["c"], 0.0525) and math.isclose(a._step("c", 1.0), 0.0525 * 1.1)
+    for _ in range(60):
+        a.learn(0.0)
+    assert a.converged() and len(a.gains) == 10 and a.size == a.low
+    calls = []
+    flat = lambda x: calls.append(x) or {c: (0.5, 1.0) for c in x}
+    assert len(tune.Adaptive().search(flat, {"c": 1000, "p": 40, "i": 4})) == 1 and len(calls) == 3  # the start, near, half as far again
+    inside = tune.Adaptive().near({"c": 64, "p": 1, "i": 1})
+    assert inside and all(x["c"] >= 64 and x["p"] >= 1 and x["i"] >= 1 for x in inside)
+
+
+def test_heatmap_cells_and_search_summary(spark, runs):
+    cells = {(r["kmeans_iter"], r["num_centroids"], r["nprobe"]): (r["mean"], r["n"]) for r in analysis.heatmap_cells(analysis.succeeded(runs)).collect()}
+    assert cells[1, 8, 1] == (0.5, 1) and len(cells) == analysis.succeeded(runs).select("kmeans_iter", "num_centroids", "nprobe").distinct().count()
+    rows = spark.createDataFrame([(c, p, 1, 0.9 + p / 100, float(c + p)) for c in (10, 20) for p in (1, 9, 9)], "num_centroids int, nprobe int, kmeans_iter int, recall_pred double, time_pred double")
+    out = models.search_summary(rows, 0.98, 3).collect()
+    assert [(r["place"], r["num_centroids"], r["found"], r["least_time"], r["mean_time"]) for r in out] == [(1, 10, 4, 19.0, 24.0), (2, 10, 4, 19.0, 24.0), (3, 20, 4, 19.0, 24.0)]
+    assert models.search_summary(rows, 2.0).count() == 0
+
+
 @pytest.fixture(scope="module")
 def measured(spark):
     rows = []

@@ -17,6 +17,8 @@ def db(data):
 
 
 def tidy(v):
+    if isinstance(v, list):
+        return [tidy(x) for x in v]
     return "nan" if v != v else 0.0 if v == 0 else v
 
 

@@ -114,6 +114,8 @@ def test_search_by_cell_equals_search_by_broadcast(spark, cloud, index, monkeypa
     pieces = index._by_cell(index._asked(q), 6, 4, piece=7)
     w = pieces.orderBy("dist_sq", "vec_id").groupBy("query_id").count()
     assert w.where("count < 6").count() == 0
+    split = index._by_cell(index._asked(q), 6, 4, piece=7, query_piece=2)  # the queries of a cell in parts: the same candidates
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, pieces.collect()))
 
 
 def test_bounds_hold_and_index_survives_saving(spark, cloud, index, tmp_path):
