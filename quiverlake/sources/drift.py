@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiverlake.session import cut
+
 ENTRY = "array<struct<path: string, kind: string, raw: string, text: string>>"
 ENTRY_ARROW = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("raw", pa.string()), ("text", pa.string())]))
 #: Kinds of JSON values that a typed column takes without rescue.
@@ -194,7 +196,7 @@ def changes(records: DataFrame, series: str = "series_name", order: str = "file_
     base = entries(records, [series, order], body, nested).where(F.col(order).isNotNull())
     each = base.select(F.col(series).alias("s"), F.col(order).alias("q"), F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("kind"))), F.transform(F.coalesce("entries", F.array().cast(ENTRY)), lambda e: F.struct(e["path"].alias("path"), e["kind"].alias("kind"))))).alias("e"))
     flags = [F.max(F.when(F.col("e.kind") == k, 1).otherwise(0)).alias(f"f_{k}") for k in KINDS]
-    per_file = each.groupBy("s", "q", F.col("e.path").alias("path")).agg(*flags)
+    per_file = cut(each.groupBy("s", "q", F.col("e.path").alias("path")).agg(*flags), "file-fields")  # used twice: a row a file and path
     n = sum((F.col(f"f_{k}") for k in KINDS), F.lit(0))
     kind = F.when(n == 0, None).when((n == 2) & (F.col("f_integer") == 1) & (F.col("f_double") == 1), "double").when(n > 1, "string")
     for k in KINDS:
