@@ -10,7 +10,7 @@ from quiverlake.session import table
 
 DIM = 48
 SAMPLE_SIZE, SAMPLE_SEED = 1000, 42
-EXACT = neighbours.Settings(relax=1.0, rows_per_shard=48_000, max_queries=200_000)
+EXACT = neighbours.Settings(relax=1.0, rows_per_shard=96_000, max_queries=200_000)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
