@@ -80,6 +80,11 @@ def usable(v: ColumnOrName, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def unsigned_zeros(v: ColumnOrName) -> Column:
+    """The same vector with -0.0 as 0.0, as DuckDB's aggregates over lists return it."""
+    return F.transform(_col(v), lambda x: x + F.lit(0.0).cast("float"))
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int, dtype=np.float64) -> np.ndarray:
     """An Arrow list column of vectors of ``dim`` components as a matrix, in its own precision if ``dtype`` is None; no nulls allowed."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiverlake.functions.vectors import unsigned_zeros
 from quiverlake.llm import grid, leakage, neighbours, pii, sample, tokens
 from quiverlake.session import table
 
@@ -29,8 +30,9 @@ def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sampled items with their vectors."""
-    return sample.draw(table(spark, sf_dir, "vec_items"), SAMPLE_SIZE, SAMPLE_SEED, DIM).select("vec_index", "v")
+    """The sampled items with their vectors, zeros without a sign as in the SQL."""
+    items = sample.draw(table(spark, sf_dir, "vec_items"), SAMPLE_SIZE, SAMPLE_SEED, DIM)
+    return items.select("vec_index", unsigned_zeros("v").alias("v"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,20 @@ def test_ties_of_keys(spark):
     assert sample.kth_smallest(keys, 3) == (7, 2) and sample.kth_smallest(keys, 6) is None and sample.kth_smallest(keys, 1) == (1, 1)
 
 
+def test_sampled_vectors_equal_the_sql_bit_by_bit(spark, tmp_path):
+    """Zeros with a sign among the values; copies of an item may differ in it."""
+    rows = make(3, clusters=1)
+    rows = [(i, [-0.0, 0.0] + v[2:] if i % 2 else v) for i, v in rows]
+    path = str(tmp_path / "vec_items.parquet")
+    items(spark, rows + [(i, [x + 0.0 for x in v]) for i, v in rows[:40]] + DIRT).write.parquet(path)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW vec_items AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = {i: np.array(v, np.float32).tobytes() for i, v in db.sql(queries.oracle_sql()["p4_items"]).fetchall()}
+    df = queries.p4_items(spark, str(tmp_path))
+    assert df.schema["v"].dataType.simpleString() == "array<float>"
+    assert {r["vec_index"]: np.array(r["v"], np.float32).tobytes() for r in df.collect()} == want and len(want) == len(rows)
+
+
 # ------------------------------------------------------------ neighbours
 def brute(ids, x, k, radius=np.inf):
     out = {}
