@@ -59,7 +59,7 @@ class Quantiser:
     def __init__(self, sample: np.ndarray, n: int, s: Settings):
         sample = sample.astype(np.float64)
         self.s = s
-        self.centre, turn = principal(sample)
+        self.centre, turn = self.frame = principal(sample)
         self.turn = turn[:, : s.directions]
         self.nodes: list[tuple] = []  # (direction, border, lower, upper) or (cell,)
         self.cells = 0
@@ -114,6 +114,29 @@ class Quantiser:
         met = (cells < home[rows]) == ((cells + home[rows]) % 2 == 0)
         return home, rows[met], cells[met]
 
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """Each row's cell."""
+        return self.place(self.project(x), 0.0)[0]
+
+    def near(self, cell: int, radius: float) -> np.ndarray:
+        """The cells that may have rows within ``radius`` of rows of a cell."""
+        if not hasattr(self, "low"):
+            self.low, self.high = np.full((2, self.cells, self.turn.shape[1]), -np.inf)
+            self.high = -self.high
+            stack = [(0, self.low[0].copy(), self.high[0].copy())]
+            while stack:
+                at, lo, hi = stack.pop()
+                if len(self.nodes[at]) == 1:
+                    self.low[self.nodes[at][0]], self.high[self.nodes[at][0]] = lo, hi
+                    continue
+                j, border, lower, upper = self.nodes[at]
+                below, above = hi.copy(), lo.copy()
+                below[j] = above[j] = border
+                stack += [(lower, lo, below), (upper, above, hi)]
+        gap = np.maximum(0, np.maximum(self.low - self.high[cell], self.low[cell] - self.high))
+        edge = max((abs(n[1]) for n in self.nodes if len(n) > 1), default=0.0)
+        return np.flatnonzero(np.sqrt(np.einsum("ij,ij->i", gap, gap)) <= radius + 1e-6 * (1 + radius + edge))
+
     def fine(self, p: np.ndarray) -> np.ndarray:
         """A 64-bit name of each row's fine cell, of fixed width, for the most typical members."""
         h = np.zeros(len(p), np.uint64)
@@ -299,6 +322,19 @@ def propagate(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def fit_quantiser(fit: DataFrame, dim: int, s: Settings) -> Quantiser:
+    """The grid for the rows ``(id, v)``."""
+    n = fit.count()
+    want = max(s.sample_rows, -(-n // s.cell_rows) * s.rows_a_cell)
+    sample = fit.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // want))) == 0).limit(2 * want).toArrow().sort_by("id")
+    return Quantiser(matrix(sample.column("v"), dim) if sample.num_rows else np.zeros((0, dim)), n, s)
+
+
+def pick(items: DataFrame, dim: int, index: str, vector: str) -> DataFrame:
+    """``(id, v)`` of the usable items."""
+    return items.where(F.col(index).isNotNull() & usable(vector, dim)).select(F.col(index).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+
+
 def quantise(items: DataFrame, dim: int, radius: float, s: Settings, index: str = "vec_index", vector: str = "v") -> tuple[DataFrame, int]:
     """The written table ``(id, v, cells, fine, p, copy_of)`` of the usable items, and how many rows it has.
 

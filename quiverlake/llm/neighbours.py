@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiverlake.functions.vectors import lists, matrix, usable
+from quiverlake.llm import grid
+from quiverlake.llm.cells import Blocks, alike, run_units, write
 from quiverlake.llm.vptree import Router, VpTree
 
 
@@ -133,6 +135,125 @@ def knn(queries: DataFrame, base: DataFrame, k: int, dim: int, radius: float | N
     return found.select("query_id", "base_id", "dist_sq", F.row_number().over(best).alias("rank")).where(F.col("rank") <= k)
 
 
+class _Best:
+    """The ``k`` nearest of each query among pairs ``(query, base, squared distance)`` that come part by part; a pair that comes twice counts once."""
+
+    def __init__(self, k: int, most: int = 2_000_000):
+        self.k, self.most, self.held = k, most, []
+
+    def add(self, q: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
+        if len(q):
+            self.held.append((q, b, d))
+            if sum(len(h[0]) for h in self.held) > self.most:
+                self.most = max(self.most, 2 * len(self.take()[0]))
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By query, distance and base."""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, b, d = (np.concatenate(h) for h in zip(*self.held))
+        order = np.lexsort((b, d, q))
+        q, b, d = q[order], b[order], d[order]
+        new = np.concatenate([[True], (q[1:] != q[:-1]) | (b[1:] != b[:-1])])
+        q, b, d = q[new], b[new], d[new]
+        starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        near = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q)))) < self.k
+        self.held = [(q[near], b[near], d[near])]
+        return self.held[0]
+
+
+def _nearest_units(k: int, radius: float, leaf: int, frame: tuple[np.ndarray, np.ndarray]):
+    """The work of one unit of ``cells.run_units``: ``(query_id, base_id, dist_sq)`` of its rows and of the others it meets, for each the ``k`` nearest here.
+
+    Of equal rows those with the k + 1 smallest ids are compared; the nearest of the others follow from the first one's.
+    """
+    r2 = radius * radius
+
+    def work(own: Iterator[tuple], others: Iterator[tuple]) -> Iterator[tuple]:
+        ids, x = (np.concatenate(c) for c in zip(*own))
+        ids, first = np.unique(ids, return_index=True)
+        x = x[first]
+        kept = np.sort(collapse(ids, x, k + 1))
+        first, group = alike(x)  # the first of a group has its smallest id, as ids ascend
+        left = np.setdiff1d(np.arange(len(ids)), kept)
+        copies, of = ids[left], ids[first[group[left]]]
+        blocks = Blocks(x[kept], radius, leaf, frame)
+        ids = ids[kept][blocks.order]
+        limit = np.full(len(ids), r2)  # no farther row is among a row's k nearest
+        best = _Best(k)
+
+        def meet(more: np.ndarray | None, v: np.ndarray | None) -> Iterator[tuple]:
+            """(query ids, base ids, squared distances) for the unit's rows, and for the others."""
+            raw, names = (blocks.x, ids) if more is None else (v, more)
+            reach = limit if more is None else np.full(len(more), r2)
+            for begin, end, rows, d, error in blocks.meet(v):
+                same = ids[begin:end, None] == names[rows][None]
+                d = np.where(same, np.inf, d)
+                within = np.arange(begin, end)
+                itself = more is None and rows[0] < end  # then both directions are there
+                near = d <= r2 + error
+                if len(rows) > k:
+                    limit[begin:end] = np.minimum(limit[begin:end], np.partition(d, k - 1, 1)[:, k - 1] + error)
+                if end - begin > k and not itself:
+                    reach[rows] = np.minimum(reach[rows], np.partition(d, k - 1, 0)[k - 1] + error)
+                ask = near & (d <= limit[within][:, None] + error)
+                asked = near & (d <= reach[rows][None] + error) if not itself else ask
+                a, b = np.nonzero(ask | asked)
+                for at in range(0, len(a), 65_536):
+                    i, j = a[at : at + 65_536], b[at : at + 65_536]
+                    diff = blocks.x[begin + i].astype(np.float64) - raw[rows[j]]
+                    exact = np.einsum("ij,ij->i", diff, diff)
+                    good = exact <= r2
+                    one, two = good & ask[i, j], good & asked[i, j]
+                    mine, theirs = ids[begin + i], names[rows[j]]
+                    yield (mine[one], theirs[one], exact[one]), None if itself else (theirs[two], mine[two], exact[two])
+
+        for mine, theirs in meet(None, None):
+            best.add(*mine)
+            if theirs:
+                best.add(*theirs)
+        for more, v in others:
+            more, first = np.unique(more, return_index=True)
+            rest = _Best(k)
+            for mine, theirs in meet(more, v[first]):
+                best.add(*mine)
+                rest.add(*theirs)
+            yield rest.take()
+        q, b, d = best.take()
+        yield q, b, d
+        for at in range(0, len(copies), 65_536):  # a copy has the first one's nearest, and the first one itself
+            names, firsts = copies[at : at + 65_536], of[at : at + 65_536]
+            low, high = np.searchsorted(q, firsts), np.searchsorted(q, firsts, "right")
+            row = np.repeat(np.arange(len(names)), high - low)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+            other = b[place] != names[row]
+            follow = _Best(k)
+            follow.add(names, firsts, np.zeros(len(names)))
+            follow.add(names[row[other]], b[place[other]], d[place[other]])
+            yield follow.take()
+
+    return work
+
+
+def within(items: DataFrame, k: int, radius: float, dim: int, settings: grid.Settings = grid.Settings(), index: str = "vec_index", vector: str = "v") -> DataFrame:
+    """``(query_id, base_id, dist_sq, rank)``: for every item the ``k`` nearest others within ``radius``; exact.
+
+    As ``knn`` of the items with themselves at factor 1, by the cells of ``grid``: a pair of items is looked at once, and
+    no vector is moved. Here cost grows by the pairs of items in near blocks.
+    """
+    spark = items.sparkSession
+    if k < 1:
+        return spark.createDataFrame([], "query_id bigint, base_id bigint, dist_sq double, rank int")
+    fit = grid.pick(items, dim, index, vector)
+    q = grid.fit_quantiser(fit, dim, settings)
+    segments = write(fit, dim, q.cells, q.home)
+    work = _nearest_units(k, radius, settings.leaf, q.frame)
+    found = run_units(segments, lambda c: q.near(c, radius), settings.most_rows, work, "query_id bigint, base_id bigint, dist_sq double", ["query_id", "base_id", "dist_sq"], spark)
+    best = Window.partitionBy("query_id").orderBy("dist_sq", "base_id")
+    found = found.repartition("query_id").groupBy("query_id", "base_id").agg(F.min("dist_sq").alias("dist_sq"))
+    return found.select("query_id", "base_id", "dist_sq", F.row_number().over(best).alias("rank")).where(F.col("rank") <= k)
+
+
 def mutual_pairs(neighbours: DataFrame) -> DataFrame:
     """``(index_a, index_b)`` with a < b, each among the other's neighbours."""
     pair = neighbours.select(F.least("query_id", "base_id").alias("index_a"), F.greatest("query_id", "base_id").alias("index_b"))

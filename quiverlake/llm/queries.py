@@ -11,7 +11,6 @@ from quiverlake.session import table
 
 DIM = 48
 SAMPLE_SIZE, SAMPLE_SEED = 1000, 42
-EXACT = neighbours.Settings(relax=1.0, rows_per_shard=96_000, max_queries=200_000)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of items within 2.5 of each other, each among the other's 10 nearest."""
     items = table(spark, sf_dir, "vec_items", spread=True)
-    return neighbours.mutual_pairs(neighbours.knn(items, items, 10, DIM, radius=2.5, settings=EXACT))
+    return neighbours.mutual_pairs(neighbours.within(items, 10, 2.5, DIM))
 
 
 def p5_heaps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sample, neighbours and clusters against brute force."""
 
 import hashlib
+import re
 
 import duckdb
 import numpy as np
@@ -195,6 +196,33 @@ def test_many_copies_of_one_vector(spark):
     assert lists(neighbours.knn(df, df, 10, DIM, 2.5, SMALL)) == {i: l for i, l in brute(ids, x, 10, 2.5).items() if l}
 
 
+UNITS = [grid.Settings(), grid.Settings(cell_rows=40, leaf=8), grid.Settings(cell_rows=100, most_rows=30, leaf=16)]
+
+
+@pytest.mark.parametrize("settings", UNITS)
+def test_pairs_within_cells_are_exact(spark, settings):
+    """Items, copies of items and of vectors, a crowd of more than k near ones, in one cell, many, and cells of several units."""
+    base = make(2, clusters=5, loners=60)
+    rows = base + [(10_000 + 7 * i, base[i % 3][1]) for i in range(70)]
+    df = items(spark, rows + rows[:90] + DIRT).repartition(5)
+    ids, x = usable(rows)
+    for k in (3, 10):
+        got = neighbours.within(df, k, 2.5, DIM, settings).collect()
+        assert len({(r["query_id"], r["base_id"]) for r in got}) == len(got) and max(r["rank"] for r in got) == k
+        near = {}
+        for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+            near.setdefault(r["query_id"], []).append(r["base_id"])
+        assert near == {i: l for i, l in brute(ids, x, k, 2.5).items() if l}
+    assert neighbours.within(df.limit(0), 10, 2.5, DIM, settings).count() == 0 and neighbours.within(df, 0, 2.5, DIM, settings).count() == 0
+
+
+def test_pairs_are_found_without_moving_vectors(spark, data):
+    """Whatever the number of cells, a vector is on disk once: no shuffle of the query has vectors, only pairs."""
+    plan = queries.p5_found(spark, data)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and not any(re.search(r"\bv#", columns) for columns in moved)
+
+
 def test_small_and_empty_inputs(spark):
     df = items(spark, [(1, [1.0] * DIM), (2, [1.5] * DIM)])
     assert lists(neighbours.knn(df, df, 10, DIM)) == {1: [2], 2: [1]}
