@@ -1,7 +1,7 @@
 """Exact radius joins of a table of vectors with itself, cell by cell, without moving vectors between tasks.
 
 Every row is written once, to segment files in the shared folder, in the order of the cells of a
-``Quantiser``. A unit, a cell or a piece of one, holds its own rows in blocks with bounding boxes and reads, a
+``Quantiser``. A unit, a cell or a piece of one, holds its own rows in blocks and reads, a
 part at a time, the rows of the other cells that it meets; of two cells one meets the other. So disk is one copy
 of the vectors at any number of cells, and memory a unit's rows and one part.
 """
@@ -21,7 +21,7 @@ from quiverlake.session import shared_dir
 
 FLUSH_ROWS = 250_000  # of a segment
 PART_ROWS = 65_536  # of other cells held at a time
-WIDE, FIRST, ABOVE, ACROSS = 8, 16, 16, 2048  # directions tested first in boxes and in products, blocks of a box above, columns of a product
+FIRST, ACROSS = 16, 2048  # directions that are cut and tested first, columns of a product
 
 
 class Segments:
@@ -141,29 +141,37 @@ def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[n
 
 
 class Blocks:
-    """Rows halved into blocks with bounding boxes along the directions ``frame`` (a centre and a turn), in the order ``order``."""
+    """Rows halved again and again into blocks along the directions ``frame`` (a centre and a turn), in the order ``order``."""
 
     def __init__(self, x: np.ndarray, radius: float, leaf: int, frame: tuple[np.ndarray, np.ndarray]):
-        n = len(x)
         self.r2 = radius * radius
         self.centre, self.turn = frame
         p = (x.astype(np.float64) - self.centre) @ self.turn
-        todo, blocks = [np.arange(n)], []
-        while todo:
-            rows = todo.pop()
+        order: list[np.ndarray] = []
+        self.nodes: list[tuple] = []  # of inner nodes their first row, the direction and its range, and for each child its number and its range
+        filled = 0
+
+        def halve(rows: np.ndarray) -> int:
+            nonlocal filled
+            at = len(self.nodes)
+            self.nodes.append(())
             if len(rows) > leaf:
                 j = int(np.argmax(p[rows, :FIRST].std(0)))
-                lower = p[rows, j] <= np.median(p[rows, j])
+                c = p[rows, j]
+                lower = c <= np.median(c)
                 if 0 < lower.sum() < len(rows):
-                    todo += [rows[~lower], rows[lower]]
-                    continue
-            blocks += [rows[i : i + leaf] for i in range(0, len(rows), leaf)]
-        self.order = np.concatenate(blocks)
+                    begin, below, above = filled, c[lower], c[~lower]
+                    self.nodes[at] = (begin, j, below.min(), above.max(), (halve(rows[lower]), below.min(), below.max()), (halve(rows[~lower]), above.min(), above.max()))
+                    return at
+            order.append(rows)
+            self.nodes[at] = (filled, filled + len(rows))
+            filled += len(rows)
+            return at
+
+        halve(np.arange(len(x)))
+        self.order = np.concatenate(order)
         self.x, p = x[self.order], p[self.order]
-        self.ends = np.cumsum([len(b) for b in blocks]).tolist()
-        self.starts = [0, *self.ends[:-1]]
-        self.low = np.stack([p[a:b].min(0) for a, b in zip(self.starts, self.ends)])
-        self.high = np.stack([p[a:b].max(0) for a, b in zip(self.starts, self.ends)])
+        self.low, self.high = p.min(0), p.max(0)
         self.p, self.size = p, float(np.einsum("ij,ij->i", p, p).max())
         self.made: dict = {}
 
@@ -183,55 +191,69 @@ class Blocks:
         """
         own = other is None
         if own:
-            p, size = self.p, self.size
+            p, size, away = self.p, self.size, np.zeros(len(self.p))
         else:
-            p, where = (other.astype(np.float64) - self.centre) @ self.turn, np.arange(len(other))
-            gap = np.maximum(0, np.maximum(p - self.high.max(0), self.low.min(0) - p))
-            where = where[np.einsum("ij,ij->i", gap, gap) <= self.r2 + 1e-9 * (1 + self.size + np.einsum("ij,ij->i", p, p))]
-            if not len(where):
-                return
-            p = p[where]
-            size = max(self.size, float(np.einsum("ij,ij->i", p, p).max()))
+            where = self._close(other)
+            p = (other[where].astype(np.float64) - self.centre) @ self.turn
+            gap = np.maximum(0, np.maximum(p - self.high, self.low - p))
+            away = np.einsum("ij,ij->i", gap, gap)
+            size = max(self.size, float(np.einsum("ij,ij->i", p, p).max(initial=0.0)))
         single = 2e-5 * (1 + size) < 0.01 * self.r2  # else single precision would be too coarse
         error = (2e-5 if single else 1e-9) * (1 + size)
         kind = np.float32 if single else np.float64
         if kind not in self.made:
-            self.made[kind] = self._sides(self.p, kind), self.low.astype(kind), self.high.astype(kind)
-        sides, low, high = self.made[kind]
+            self.made[kind] = self._sides(self.p, kind)
+        sides = self.made[kind]
         (_, base_first), (_, base_all) = sides if own else self._sides(p, kind)
         (ask_first, _), (ask_all, _) = sides
         most = self.r2 + error
-        wide = np.ascontiguousarray(p[:, :WIDE].T.astype(kind))
-        rest = np.ascontiguousarray(p[:, WIDE:].astype(kind))
-
-        def within(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-            away = np.zeros(len(rows), kind)
-            for j in range(len(wide)):  # most fail in the widest directions already
-                q = wide[j][rows]
-                gap = np.maximum(q - hi[j], lo[j] - q)
+        along = np.ascontiguousarray(p[:, :FIRST].T.astype(kind))
+        stack = [(0, np.flatnonzero(away <= most), away[away <= most].astype(kind))]
+        while stack:  # each row goes to all blocks within the radius by the directions cut above them
+            at, rows, away = stack.pop()
+            node = self.nodes[at]
+            if own:
+                rows, away = rows[rows >= node[0]], away[rows >= node[0]]  # the others have met these
+            if not len(rows):
+                continue
+            if len(node) > 2:
+                _, j, low, high, *children = node
+                c = along[j][rows]
+                gap = np.maximum(c - kind(high), kind(low) - c)
                 np.maximum(gap, 0, out=gap)
-                away += gap * gap
-                if j % 2:
-                    keep = away <= most
-                    rows, away = rows[keep], away[keep]
-            q = rest[rows]
-            gap = np.maximum(q - hi[WIDE:], lo[WIDE:] - q)
+                away = away - gap * gap
+                for child, low, high in children:
+                    gap = np.maximum(c - kind(high), kind(low) - c)
+                    np.maximum(gap, 0, out=gap)
+                    gap *= gap
+                    gap += away
+                    keep = np.flatnonzero(gap <= most)
+                    stack.append((child, rows[keep], gap[keep]))
+                continue
+            begin, end = node
+            for rows in (np.arange(begin, end), rows[rows >= end]) if own else (rows,):  # noqa: B020
+                for i in range(0, len(rows), ACROSS):
+                    some = rows[i : i + ACROSS]
+                    if wanted is not None:
+                        some = some[wanted(begin, end, some if own else where[some])]
+                    if len(some):
+                        some = some[(ask_first[begin:end] @ base_first[some].T).min(0) <= most]
+                    if len(some):
+                        d = ask_all[begin:end] @ base_all[some].T
+                        yield begin, end, some if own else where[some], d, error
+
+    def _close(self, other: np.ndarray) -> np.ndarray:
+        """Numbers of the rows within the radius of the box around all blocks, or little more, by the first directions."""
+        kind = np.float32 if max(self.size, float(np.abs(other).max(initial=0.0)) ** 2) < 1e12 else np.float64
+        p = np.ascontiguousarray(((other - self.centre.astype(kind)) @ self.turn[:, :FIRST].astype(kind)).T)
+        error = (2e-5 if kind == np.float32 else 1e-9) * (1 + self.size + p.shape[0] * float(np.abs(p).max(initial=0.0)) ** 2 + float(np.abs(self.centre).max()) ** 2)
+        rows, away = np.arange(len(other)), np.zeros(len(other), kind)
+        for j in range(len(p)):
+            c = p[j][rows]
+            gap = np.maximum(c - kind(self.high[j]), kind(self.low[j]) - c)
             np.maximum(gap, 0, out=gap)
-            return rows[away + np.einsum("ij,ij->i", gap, gap) <= most]
-
-        for s in range(0, len(self.ends), ABOVE):
-            e = min(s + ABOVE, len(self.ends))
-            above = within(np.arange(self.starts[s] if own else 0, len(p)), low[s:e].min(0), high[s:e].max(0))
-            for i in range(s, e):
-                begin, end = self.starts[i], self.ends[i]
-                rows = within(above[above >= end] if own else above, low[i], high[i])
-                for rows in (np.arange(begin, end), rows) if own else (rows,):  # noqa: B020
-                    for at in range(0, len(rows), ACROSS):
-                        some = rows[at : at + ACROSS]
-                        if wanted is not None:
-                            some = some[wanted(begin, end, some if own else where[some])]
-                        if len(some):
-                            some = some[(ask_first[begin:end] @ base_first[some].T).min(0) <= most]
-                        if len(some):
-                            d = ask_all[begin:end] @ base_all[some].T
-                            yield begin, end, some if own else where[some], d, error
+            away += gap * gap
+            if j % 2:
+                keep = np.flatnonzero(away <= self.r2 + error)
+                rows, away = rows[keep], away[keep]
+        return rows

@@ -1,15 +1,13 @@
-"""Similarity clusters by grid density: quantise, count cells, join adjacent cells, propagate minimum labels.
+"""Similarity clusters by grid density: quantise, join near cells, propagate minimum labels.
 
 Vectors are turned into their principal directions, which changes no distance. A grid of equally filled cells
 quantises them: the rows are halved along the direction in which they spread most, again and again, until a
 cell has about ``cell_rows`` rows. (Cells of one fixed width don't work here: at a width of the radius or more
 a few directions put half of all rows into adjacent cells, and many directions give each row hundreds of them.)
-Every row belongs to one cell. Of two adjacent cells one has guests: the rows of the other within the radius of
-its box. Two linked rows of different cells are so both in one of the two: no link is lost, whatever the number
-of rows, cells or directions. Cells are counted first; those of a single row, guests
-included, have no links and are dropped. In every other cell the links are found exactly, and each of its
-components is named by its smallest index. An item's names in different cells join the components; the minimum
-is propagated over them until nothing changes.
+Every row belongs to one cell and is written once, by ``cells``. Of two cells one meets the rows of the other that
+lie within the radius of its box: no link is lost, whatever the number of rows, cells or directions. In every
+cell the links are found exactly, and each of its components is named by its smallest index. An item's names in
+different cells join the components; the minimum is propagated over them until nothing changes.
 """
 
 from __future__ import annotations
@@ -22,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlake.functions.vectors import lists, matrix, squared_distances, usable
+from quiverlake.functions.vectors import lists, matrix, usable
+from quiverlake.llm.cells import Blocks, alike, run_units, write
 from quiverlake.session import cut, drop_cut
 
 SLACK = 1e-9  # relative; more than the rounding of a turned coordinate
@@ -31,15 +30,15 @@ SLACK = 1e-9  # relative; more than the rounding of a turned coordinate
 @dataclass(frozen=True)
 class Settings:
     """The grid's directions and borders are fitted on a sample of about ``sample_rows`` rows, at least
-    ``rows_a_cell`` a cell; counts, cells and links cover all rows. None of the figures changes the result."""
+    ``rows_a_cell`` a cell; cells and links cover all rows. None of the figures changes the result."""
 
     cell_rows: int = 48_000
     sample_rows: int = 20_000
     rows_a_cell: int = 16
     directions: int = 16  # that borders may cut
-    most_rows: int = 250_000  # a cell with more rows, guests included, is split
-    piece_rows: int = 60_000  # rows of a part of it
-    pivots: int = 256  # rows of a split cell that go to all its parts
+    most_rows: int = 250_000  # rows of a unit; a cell with more has several
+    piece_rows: int = 60_000  # not used any more, as pivots
+    pivots: int = 256
     leaf: int = 512  # rows of a block within a cell
     fine_width: float = 0.6  # cells for the most typical members
     fine_directions: int = 6
@@ -147,155 +146,108 @@ class Quantiser:
         return h.view(np.int64)
 
 
-def components(x: np.ndarray, ids: np.ndarray, radius: float, leaf: int = 256, home: np.ndarray | None = None) -> np.ndarray:
-    """For each row the smallest id of its component under links of at most ``radius``; exact.
+class Links:
+    """The components of rows ``x`` under links of at most ``radius``, and of other rows that are linked to them; exact.
 
-    With ``home`` given, links between two rows that aren't home are left out. The rows are halved into blocks with bounding boxes; a block meets only rows within the radius of its box,
-    and none that already belong to the one component of all its rows, so a crowd of like rows costs little.
+    A block of rows that are one component already meets only rows outside it, so a crowd of like rows costs little.
     """
-    n, r2 = len(x), radius * radius
-    if n < 2:
-        return ids.copy()
-    x = x.astype(np.float64, copy=False)
-    centre, turn = principal(x[:: max(1, n // 20_000)])
-    p = (x - centre) @ turn
-    blocks: list[np.ndarray] = []
-    todo = [np.arange(n)] if home is None else [np.flatnonzero(~home), np.flatnonzero(home)]  # from the end, so home rows come first
-    asking = n if home is None else int(home.sum())
-    while todo:
-        rows = todo.pop()
-        if len(rows) > leaf:
-            q = p[rows]
-            j = int(np.argmax(q.std(0)))
-            lower = q[:, j] <= np.median(q[:, j])
-            if 0 < lower.sum() < len(rows):
-                todo += [rows[~lower], rows[lower]]
-                continue
-        blocks += [rows[i : i + leaf] for i in range(0, len(rows), leaf)]
-    order = np.concatenate(blocks)
-    p, raw = p[order], x[order]
-    ends = np.cumsum([len(b) for b in blocks])
-    starts = ends - [len(b) for b in blocks]
-    low = np.stack([p[a:b].min(0) for a, b in zip(starts, ends)])
-    high = np.stack([p[a:b].max(0) for a, b in zip(starts, ends)])
-    norms = np.einsum("ij,ij->i", p, p)
-    size = norms.max()
-    single = 2e-5 * (1 + size) < 0.01 * r2  # else single precision would be too coarse
-    slack = (2e-5 if single else SLACK) * (1 + size)
-    kind = np.float32 if single else np.float64
-    base = np.column_stack([p, np.ones(n), norms]).astype(kind)  # a squared distance is one product of rows with their norms
-    asks = np.column_stack([-2 * p, norms, np.ones(n)]).astype(kind)
-    p, low, high = p.astype(kind), low.astype(kind), high.astype(kind)
-    first = min(8, p.shape[1])
-    parent = np.arange(n)
-
-    def root(of: np.ndarray) -> np.ndarray:
+
+    def __init__(self, x: np.ndarray, radius: float, leaf: int, frame: tuple[np.ndarray, np.ndarray]):
+        self.blocks, self.r2 = Blocks(x, radius, leaf, frame), radius * radius
+        self.parent = np.arange(len(x))
+        self._meet(None)
+
+    def _root(self, of: np.ndarray) -> np.ndarray:
         while True:
-            up = parent[of]
+            up = self.parent[of]
             if np.array_equal(up, of):
                 return of
             of = up
 
-    def join(a: np.ndarray, b: np.ndarray) -> None:
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
         """Join the components of rows ``a[i]`` and ``b[i]``."""
         while len(a):
-            a, b = root(a), root(b)
+            a, b = self._root(a), self._root(b)
             a, b = np.minimum(a, b), np.maximum(a, b)
             apart = a != b
             a, b = a[apart], b[apart]
             if len(a):
-                np.minimum.at(parent, b, a)
-
-    for i, (begin, end) in enumerate(zip(starts.tolist(), ends.tolist())):
-        if begin >= asking:
-            break
-        gap = np.maximum(0, np.maximum(low[i:] - high[i], low[i] - high[i:]))
-        near = np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= r2 + slack) + i
-        own = np.arange(begin, end)
-        rest = [np.arange(starts[k], ends[k]) for k in near[1:]]
-        rest = np.concatenate(rest) if rest else own[:0]
-        away = np.zeros(len(rest), kind)
-        for part in (slice(0, first), slice(first, None)):  # most fail in the widest directions already
-            q = p[rest, part]
-            gap = np.maximum(q - high[i, part], low[i, part] - q)
-            np.maximum(gap, 0, out=gap)
-            away += np.einsum("ij,ij->i", gap, gap)
-            keep = away <= r2 + slack
-            rest, away = rest[keep], away[keep]
-        for other in (own, rest):
-            mine = root(own)
-            whole = bool((mine == mine[0]).all())
-            if whole:
-                other = other[root(other) != mine[0]]
-            for at in range(0, len(other), 2048):
-                some = other[at : at + 2048]
-                d = asks[begin:end] @ base[some].T
-                if other is own:
-                    np.fill_diagonal(d, np.inf)
-                few = np.flatnonzero(d.min(0) <= r2 + slack)
-                if not len(few):
-                    continue
-                some, d = some[few], d[:, few]
-                hit = d <= r2 - slack
-                unsure = (d <= r2 + slack) & ~hit
-                if unsure.any():
-                    a, b = np.nonzero(unsure)
-                    hit[a, b] = ((raw[begin + a] - raw[some[b]]) ** 2).sum(1) <= r2
-                if whole:
-                    new = some[hit.any(0)]
-                    join(np.full(len(new), begin), new)
-                elif hit.any():
-                    a, b = np.nonzero(hit)
-                    pairs = np.unique(root(begin + a) * n + root(some[b]))
-                    join(pairs // n, pairs % n)
-    top = root(np.arange(n))
-    named = ids[order]
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, top, named)
-    out = np.empty(n, np.int64)
-    out[order] = least[top]
-    return out
-
-
-def _link_units(units: DataFrame, dim: int, radius: float, parts: int, leaf: int) -> DataFrame:
-    """``(id, root)`` of the rows that have a link in their unit; a row twice in a unit counts once, links between guests count elsewhere. Rows: ``unit, id, v, home``."""
-
-    def of(unit: list[pa.Table]) -> pa.RecordBatch | None:
-        t = pa.concat_tables(unit)
-        ids, first = np.unique(t.column("id").to_numpy(), return_index=True)
-        home = t.column("home").to_numpy()[first]
-        if len(ids) < 2 or not home.any():
-            root = ids
-        else:
-            root = components(matrix(t.column("v"), dim)[first], ids, radius, leaf, home)
-        keep = np.isin(root, root[root != ids])
-        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(root[keep])], ["id", "root"]) if keep.any() else None
+                np.minimum.at(self.parent, b, a)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        name = None
-        out: list[pa.RecordBatch] = []
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-            table = pa.Table.from_batches([batch])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if b <= a:
-                    continue
-                if name is not None and keys[a] != name:
-                    if (r := of(held)) is not None:
-                        out.append(r)
-                    held = []
-                name = keys[a]
-                held.append(table.slice(a, b - a))
-            if out:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-                out = []
-        if held and (r := of(held)) is not None:
-            yield r
-
-    rows = units.select("unit", "id", "v", "home").repartitionByRange(parts, "unit").sortWithinPartitions("unit")
-    return rows.mapInArrow(run, "id bigint, root bigint")
+    def _meet(self, other: np.ndarray | None) -> None:
+        n = len(self.blocks.x)
+        first = 0 if other is None else n
+        raw = self.blocks.x if other is None else other
+
+        def apart(begin: int, end: int, rows: np.ndarray) -> np.ndarray:
+            mine = self._root(np.arange(begin, end))
+            return self._root(first + rows) != mine[0] if (mine == mine[0]).all() else np.ones(len(rows), bool)
+
+        for begin, end, rows, d, error in self.blocks.meet(other, apart):
+            hit = d <= self.r2 - error
+            a, b = np.nonzero((d <= self.r2 + error) & ~hit)
+            if len(a):
+                hit[a, b] = ((self.blocks.x[begin + a].astype(np.float64) - raw[rows[b]]) ** 2).sum(1) <= self.r2
+            mine = self._root(np.arange(begin, end))
+            if (mine == mine[0]).all():
+                new = first + rows[hit.any(0)]
+                self._join(np.full(len(new), begin), new)
+            else:
+                a, b = np.nonzero(hit)
+                most = len(self.parent)
+                pairs = np.unique(mine[a] * most + self._root(first + rows[b]))
+                self._join(pairs // most, pairs % most)
+
+    def roots(self) -> np.ndarray:
+        """For each row the number of a row of its component, the same for all of them."""
+        out = np.empty(len(self.parent), np.int64)
+        out[self.blocks.order] = self.blocks.order[self._root(np.arange(len(self.parent)))]
+        return out
+
+    def meet(self, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the linked rows of ``other``, a row of the component of each); the rows' components are joined by them."""
+        n = len(self.parent)
+        self.parent = np.concatenate([self.parent, np.arange(n, n + len(other))])
+        self._meet(other)
+        root = self._root(np.arange(n, n + len(other)))
+        self.parent = self._root(np.arange(n))
+        linked = np.flatnonzero(root < n)
+        return linked, self.blocks.order[root[linked]]
+
+
+def components(x: np.ndarray, ids: np.ndarray, radius: float, leaf: int = 256) -> np.ndarray:
+    """For each row the smallest id of its component under links of at most ``radius``; exact."""
+    if len(x) < 2:
+        return ids.copy()
+    root = Links(x, radius, leaf, principal(x.astype(np.float64))).roots()
+    least = np.full(len(x), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, ids)
+    return least[root]
+
+
+def link_units(radius: float, leaf: int, frame: tuple[np.ndarray, np.ndarray]):
+    """The work of one unit of ``cells.run_units``: edges ``(id, root)`` of its rows, and of the others it meets."""
+
+    def work(own: Iterator[tuple], others: Iterator[tuple]) -> Iterator[tuple]:
+        ids, x = (np.concatenate(c) for c in zip(*own))
+        ids, first = np.unique(ids, return_index=True)
+        x = x[first]
+        main, group = alike(x)
+        copy = np.flatnonzero(main[group] != np.arange(len(ids)))
+        yield ids[copy], ids[main[group[copy]]]
+        links, ids = Links(x[main], radius, leaf, frame), ids[main]
+        for more, v in others:
+            more, first = np.unique(more, return_index=True)
+            linked, to = links.meet(v[first])
+            if len(linked):
+                yield more[linked], ids[to]
+        root = links.roots()
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, ids)
+        keep = least[root] != ids
+        yield ids[keep], least[root][keep]
+
+    return work
 
 
 def propagate(edges: DataFrame) -> DataFrame:
@@ -322,11 +274,12 @@ def propagate(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def fit_quantiser(fit: DataFrame, dim: int, s: Settings) -> Quantiser:
-    """The grid for the rows ``(id, v)``."""
-    n = fit.count()
+def fit_quantiser(items: DataFrame, dim: int, s: Settings, index: str, vector: str) -> Quantiser:
+    """The grid for the items; unusable ones count for the number of cells, so no vector is read for that."""
+    n = items.where(F.col(index).isNotNull()).count()
     want = max(s.sample_rows, -(-n // s.cell_rows) * s.rows_a_cell)
-    sample = fit.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // want))) == 0).limit(2 * want).toArrow().sort_by("id")
+    some = items.where(F.pmod(F.xxhash64(F.col(index).cast("bigint")), F.lit(max(1, n // want))) == 0)
+    sample = pick(some, dim, index, vector).limit(2 * want).toArrow().sort_by("id")
     return Quantiser(matrix(sample.column("v"), dim) if sample.num_rows else np.zeros((0, dim)), n, s)
 
 
@@ -335,93 +288,6 @@ def pick(items: DataFrame, dim: int, index: str, vector: str) -> DataFrame:
     return items.where(F.col(index).isNotNull() & usable(vector, dim)).select(F.col(index).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
 
 
-def quantise(items: DataFrame, dim: int, radius: float, s: Settings, index: str = "vec_index", vector: str = "v") -> tuple[DataFrame, int]:
-    """The written table ``(id, v, cells, fine, p, copy_of)`` of the usable items, and how many rows it has.
-
-    ``cells`` holds an item's own cell first and then those where it is a guest. Of equal vectors in one Arrow
-    batch only the first goes on; the others name it in ``copy_of``.
-    """
-    fit = items.where(F.col(index).isNotNull() & usable(vector, dim)).select(F.col(index).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    n = fit.count()
-    want = max(s.sample_rows, -(-n // s.cell_rows) * s.rows_a_cell)
-    sample = fit.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // want))) == 0).limit(2 * want).toArrow().sort_by("id")
-    q = Quantiser(matrix(sample.column("v"), dim) if sample.num_rows else np.zeros((0, dim)), n, s)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = matrix(batch.column(1), dim, np.float32) + np.float32(0.0)
-            ids = batch.column(0).to_numpy()
-            rows = np.ascontiguousarray(x)
-            _, first, group = np.unique(rows.view(np.dtype((np.void, 4 * dim))).ravel(), return_index=True, return_inverse=True)
-            first_id = ids[first][group]
-            copy = first_id != ids
-            main = np.zeros(len(ids), bool)
-            main[first] = True  # the others are the same id again, or a copy
-            keep = np.flatnonzero(main | copy)
-            p = q.project(x[keep].astype(np.float64))
-            home, guest, cell = q.place(p, radius)
-            at = np.concatenate([np.arange(len(keep)), guest])
-            by_row = np.argsort(at, kind="stable")
-            ends = np.cumsum(np.bincount(at, minlength=len(keep)))
-            cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.concatenate([home, cell])[by_row], pa.int64()))
-            copies = pa.array([None if main[i] else int(first_id[i]) for i in keep], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), lists(x[keep]), cells, pa.array(q.fine(p)), lists(p.astype(np.float32)), copies], ["id", "v", "cells", "fine", "p", "copy_of"])
-
-    kinds = "id bigint, v array<float>, cells array<bigint>, fine bigint, p array<float>, copy_of bigint"
-    return cut(fit.mapInArrow(run, kinds), "cells"), n
-
-
-def link(cells: DataFrame, dim: int, radius: float, s: Settings) -> DataFrame:
-    """Edges ``(id, root)`` of all cells.
-
-    The cells are counted before any vector moves. A cell with more than ``most_rows`` rows, guests included,
-    goes to ``_link_crowded`` as a whole, so its links are exact as well.
-    """
-    main = cells.where("copy_of IS NULL")
-    counts = cut(main.select(F.explode("cells").alias("unit")).groupBy("unit").count().where("count > 1"), "counts")
-    rows, crowded = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum((F.col("count") > s.most_rows).cast("int")), F.lit(0))).head()
-    parts = max(int(main.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 300_000))
-    each = main.select("id", "v", F.posexplode("cells").alias("at", "unit")).withColumn("home", F.col("at") == 0).drop("at")
-    edges = cells.where("copy_of IS NOT NULL").select("id", F.col("copy_of").alias("root"))
-    pieces = counts.where(F.col("count") > s.most_rows).select("unit", F.ceil(F.col("count") / s.piece_rows).cast("int").alias("pieces"))
-    if not crowded:
-        return edges.unionByName(_link_units(each, dim, radius, parts, s.leaf))
-    each = each.join(F.broadcast(pieces) if crowded <= 100_000 else pieces, "unit", "left")
-    edges = edges.unionByName(_link_units(each.where("pieces IS NULL"), dim, radius, parts, s.leaf))
-    rest = cut(each.where("pieces IS NOT NULL"), "rest")
-    return edges.unionByName(_link_crowded(rest.select("unit", "id", "v", "pieces"), dim, radius, parts, s))
-
-
-def _link_crowded(split: DataFrame, dim: int, radius: float, parts: int, s: Settings) -> DataFrame:
-    """Edges within units of several pieces (``unit, id, v, pieces``); exact, no task holding much more than ``piece_rows`` rows.
-
-    The rows of a unit are dealt out to its pieces by hash, the same pivot rows going to all of them, so what
-    is linked to a pivot comes together across pieces. Rows outside the unit's largest component so far are
-    few as a rule: they go to every piece in a second pass, which finds all their links, and within the
-    largest component no link is needed any more. Where they are too many for that, all pieces of the unit
-    meet pairwise instead.
-    """
-    is_pivot = F.pmod(F.xxhash64("id", "unit"), F.lit(1 << 30)) < F.lit(int(s.pivots / s.piece_rows * (1 << 30))) / F.col("pieces")
-    dealt = split.withColumns({"pivot": is_pivot, "piece": F.pmod(F.xxhash64("unit", "id", F.lit(s.seed)), F.col("pieces")).cast("int")})
-    all_pieces = F.sequence(F.lit(0), F.col("pieces") - 1)
-
-    def units(rows: DataFrame, everywhere) -> DataFrame:
-        place = F.explode(F.when(everywhere, all_pieces).otherwise(F.array("piece")))
-        return rows.select("unit", "id", "v", place.alias("place")).select(F.xxhash64("unit", "place").alias("unit"), "id", "v", F.lit(True).alias("home"))
-
-    first = cut(_link_units(units(dealt, F.col("pivot")), dim, radius, parts, s.leaf), "pieces")
-    labels = propagate(first)
-    known = dealt.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    shares = known.groupBy("unit", "label").agg(F.count("*").alias("n"))
-    largest = cut(shares.groupBy("unit").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others")), "largest")
-    known = cut(known.join(largest.where("others > 0"), "unit").select("unit", "id", "v", "pieces", "piece", (F.col("label") != F.col("main")).alias("apart"), (F.col("others") > s.piece_rows).alias("many")), "known")
-    few = units(known.where("NOT many"), F.col("apart"))
-    half = known.where("many").select("unit", "id", "v", (F.col("pieces") * 2).alias("pieces")).withColumn("a", F.pmod(F.xxhash64("unit", "id"), F.col("pieces")).cast("int"))
-    pairs = half.select("unit", "id", "v", "a", F.explode(all_pieces).alias("b"))
-    pairs = pairs.select(F.xxhash64("unit", F.least("a", "b"), F.greatest("a", "b")).alias("unit"), "id", "v", F.lit(True).alias("home"))
-    return first.unionByName(_link_units(few.unionByName(pairs), dim, radius, parts, s.leaf))
-
-
 def cluster(items: DataFrame, radius: float, dim: int, min_size: int = 5, settings: Settings = Settings(), index: str = "vec_index", vector: str = "v") -> DataFrame:
     """``(index, cluster_id)`` of the items in sets of at least ``min_size`` that links of at most ``radius`` connect.
 
@@ -429,12 +295,14 @@ def cluster(items: DataFrame, radius: float, dim: int, min_size: int = 5, settin
     part, items loaded twice count once, equal vectors are linked, other columns aren't read, and an empty
     table has no clusters.
     """
-    cells, _ = quantise(items, dim, radius, settings, index, vector)
-    return _members(cells, radius, dim, min_size, settings).select(F.col("id").alias(index), F.col("label").alias("cluster_id"))
+    fit = pick(items, dim, index, vector)
+    return _members(fit, fit_quantiser(items, dim, settings, index, vector), radius, dim, min_size, settings).select(F.col("id").alias(index), F.col("label").alias("cluster_id"))
 
 
-def _members(cells: DataFrame, radius: float, dim: int, min_size: int, s: Settings) -> DataFrame:
-    labels = propagate(link(cells, dim, radius, s))
+def _members(fit: DataFrame, q: Quantiser, radius: float, dim: int, min_size: int, s: Settings) -> DataFrame:
+    segments = write(fit, dim, q.cells, q.home)
+    labels = propagate(run_units(segments, lambda c: q.near(c, radius), s.most_rows, link_units(radius, s.leaf, q.frame), "id bigint, root bigint", ["id", "root"], fit.sparkSession))
+    segments.drop()
     sizes = labels.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
     return labels.join(sizes, "label").select("id", "label", "size")
 
@@ -446,9 +314,16 @@ def describe(items: DataFrame, radius: float, dim: int, min_size: int = 5, typic
     """
     from pyspark.sql import Window
 
-    cells, _ = quantise(items, dim, radius, settings, index, vector)
-    members = cut(_members(cells, radius, dim, min_size, settings), "members")
-    place = cells.dropDuplicates(["id"]).select("id", "fine", "p")
+    fit = pick(items, dim, index, vector)
+    q = fit_quantiser(items, dim, settings, index, vector)
+    members = cut(_members(fit, q, radius, dim, min_size, settings), "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = q.project(matrix(batch.column(1), dim).astype(np.float64) + 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q.fine(p)), lists(p.astype(np.float32))], ["id", "fine", "p"])
+
+    place = fit.mapInArrow(run, "id bigint, fine bigint, p array<float>").dropDuplicates(["id"])
     placed = cut(members.join(place, "id"), "placed")
     m = min(len(placed.select("p").head()[0]) if placed.limit(1).count() else 0, settings.directions)
     means = [F.avg(F.get("p", F.lit(i))).alias(f"m{i}") for i in range(m)]

@@ -245,7 +245,7 @@ def within(items: DataFrame, k: int, radius: float, dim: int, settings: grid.Set
     if k < 1:
         return spark.createDataFrame([], "query_id bigint, base_id bigint, dist_sq double, rank int")
     fit = grid.pick(items, dim, index, vector)
-    q = grid.fit_quantiser(fit, dim, settings)
+    q = grid.fit_quantiser(items, dim, settings, index, vector)
     segments = write(fit, dim, q.cells, q.home)
     work = _nearest_units(k, radius, settings.leaf, q.frame)
     found = run_units(segments, lambda c: q.near(c, radius), settings.most_rows, work, "query_id bigint, base_id bigint, dist_sq double", ["query_id", "base_id", "dist_sq"], spark)

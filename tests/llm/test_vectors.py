@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -331,6 +332,22 @@ def test_guests_meet_every_link():
         assert sorted(met) == np.flatnonzero(a != b).tolist() and met
 
 
+def test_clusters_move_no_vectors(spark):
+    """However many cells a row is near to, shuffles hold links only: far fewer bytes than the vectors have."""
+    r = np.random.default_rng(12)
+    x = r.normal(size=(4000, DIM)).astype(np.float32) * np.linspace(3, 1, DIM, dtype=np.float32)
+    df = items(spark, [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, x[:500] + np.float32(0.1)]))])
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        time.sleep(0.5)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    got = grid.cluster(df, 2.5, DIM, min_size=2, settings=grid.Settings(cell_rows=50, sample_rows=500, leaf=16))
+    assert got.count() == 1000 and 0 < shuffled() - before < 4500 * DIM * 4 / 2
+
+
 def test_long_chain(spark):
     step = np.zeros(DIM)
     step[0] = 2.4
