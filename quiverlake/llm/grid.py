@@ -275,8 +275,8 @@ def propagate(edges: DataFrame) -> DataFrame:
 
 
 def fit_quantiser(items: DataFrame, dim: int, s: Settings, index: str, vector: str) -> Quantiser:
-    """The grid for the items; unusable ones count for the number of cells, so no vector is read for that."""
-    n = items.where(F.col(index).isNotNull()).count()
+    """The grid for the usable items."""
+    n = pick(items, dim, index, vector).count()
     want = max(s.sample_rows, -(-n // s.cell_rows) * s.rows_a_cell)
     some = items.where(F.pmod(F.xxhash64(F.col(index).cast("bigint")), F.lit(max(1, n // want))) == 0)
     sample = pick(some, dim, index, vector).limit(2 * want).toArrow().sort_by("id")
